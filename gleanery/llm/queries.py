@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from .bpe import op2_bpe_round_trip
+from .chat import OP1_SQL, op1_preference_chat
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .mixing import OP10_SQL, op10_source_mix
+from .sharding import op7_external_shuffle
 
 QUERIES = {
+    "op1_preference_chat": op1_preference_chat,
+    "op2_bpe_round_trip": op2_bpe_round_trip,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_external_shuffle": op7_external_shuffle,
     "op10_source_mix": op10_source_mix,
 }
 
 ORACLES = {
+    "op1_preference_chat": OP1_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op10_source_mix": OP10_SQL,
 }
