@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op9_anisotropic_search
 from .bpe import op2_bpe_round_trip
 from .chat import OP1_SQL, op1_preference_chat
 from .exact_dedup import OP5_SQL, op5_exact_dedup
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_external_shuffle": op7_external_shuffle,
+    "op9_anisotropic_search": op9_anisotropic_search,
     "op10_source_mix": op10_source_mix,
 }
 
