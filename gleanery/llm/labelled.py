@@ -18,8 +18,8 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(fold(id_col) == HELD_OUT, F.lit(True))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, positives: int, negatives: int) -> DataFrame:
-    """``text, label``: at most so many documents of each label, first in hash order of their ids.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, positives: int, negatives: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, text, label`` and columns to ``keep``: at most so many documents of each label, first in hash order of their ids.
 
     Conflicting labels of an id count as 1; null labels and held-out ids are left out. The sample of ids is bounded
     by its parameters, so it is broadcast and texts are not shuffled.
@@ -28,8 +28,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, positives: int
     own = own.where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
     picked = [own.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in ((1, positives), (0, negatives))]
     sample = picked[0].unionAll(picked[1])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
+    return rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label", *keep)
 
 
 def read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from .bpe import op2_bpe_round_trip
 from .chat import OP1_SQL, op1_preference_chat
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .mixing import OP10_SQL, op10_source_mix
+from .quality import op4_factorisation_quality
 from .sharding import op7_external_shuffle
 from .toxicity import op3_subsequence_toxicity
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_preference_chat": op1_preference_chat,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_subsequence_toxicity": op3_subsequence_toxicity,
+    "op4_factorisation_quality": op4_factorisation_quality,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_external_shuffle": op7_external_shuffle,
     "op9_anisotropic_search": op9_anisotropic_search,
