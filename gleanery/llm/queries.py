@@ -6,6 +6,7 @@ from .ann import op9_anisotropic_search
 from .bpe import op2_bpe_round_trip
 from .chat import OP1_SQL, op1_preference_chat
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .html_text import op8_ratio_extraction
 from .mixing import OP10_SQL, op10_source_mix
 from .quality import op4_factorisation_quality
 from .sharding import op7_external_shuffle
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_factorisation_quality": op4_factorisation_quality,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_external_shuffle": op7_external_shuffle,
+    "op8_ratio_extraction": op8_ratio_extraction,
     "op9_anisotropic_search": op9_anisotropic_search,
     "op10_source_mix": op10_source_mix,
 }
