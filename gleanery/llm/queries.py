@@ -7,6 +7,7 @@ from .bpe import op2_bpe_round_trip
 from .chat import OP1_SQL, op1_preference_chat
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .html_text import op8_ratio_extraction
+from .jaccard_join import op6_shingle_join
 from .mixing import OP10_SQL, op10_source_mix
 from .quality import op4_factorisation_quality
 from .sharding import op7_external_shuffle
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_subsequence_toxicity": op3_subsequence_toxicity,
     "op4_factorisation_quality": op4_factorisation_quality,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_shingle_join": op6_shingle_join,
     "op7_external_shuffle": op7_external_shuffle,
     "op8_ratio_extraction": op8_ratio_extraction,
     "op9_anisotropic_search": op9_anisotropic_search,
