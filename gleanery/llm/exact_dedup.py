@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, scratch, shuffle_partitions, text_or_empty
@@ -62,24 +61,25 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     null. An empty batch gives no rows. Extra columns are ignored, whatever their names.
     """
     rows = materialise(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text_or_empty(text_col), 256)).alias("digest")),
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text_or_empty(text_col), 256)).alias("digest"), F.monotonically_increasing_id().alias("row")),
         "digests",
     )
-    batch = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # The row number, fixed by having been written, decides among repeated rows of one id and text.
+    best = F.max(F.struct("doc_id", "row"))
+    batch = rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
+    # Written, because the optimiser moves an anti-join below an aggregate, where hot digests are not yet one row.
+    batch = materialise(batch, "batch")
     fresh = materialise(batch.select("digest", "keep_id").hint("merge").join(index.read().select("digest"), "digest", "left_anti"), "fresh")
     index.append(fresh)
-    known = batch.select("digest", "group_size").join(index.read(), "digest")
-    judged = known.join(fresh.select("digest", F.lit(True).alias("is_new")), "digest", "left")
-    # Repeated rows of one id and text: exactly one of them may stay.
-    nth = F.row_number().over(W.partitionBy("digest", "doc_id").orderBy(F.lit(1)))
+    known = batch.select("digest", "keep_row", "group_size").join(index.read(), "digest")
+    judged = materialise(known.join(fresh.select("digest", F.lit(True).alias("is_new")), "digest", "left"), "judged")
     return (
-        rows.withColumn("nth", nth)
-        .join(judged, "digest")
+        rows.join(judged, "digest")
         .select(
             "doc_id",
             "keep_id",
             "group_size",
-            (F.coalesce("is_new", F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"),
+            (F.coalesce("is_new", F.lit(False)) & (F.col("row") == F.col("keep_row"))).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
         )
     )
