@@ -22,15 +22,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .labelled import held_out, read, training_rows
 
 SPAN, DECAY, BITS = 6, 0.7, 20
 LONG, WINDOW = 40, 24
-POSITIVES, NEGATIVES, UNITS = 3000, 5000, 100_000
+POSITIVES, NEGATIVES, UNITS = 3000, 5000, 60_000
 LANDMARKS = 160
 PENALTY = 1.0
-CACHE = 400_000
+CACHE = 300_000
+ROWS, WORDS = 512, 4096  # documents and words handled at a time by a worker
 
 _TRIM = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»„“”‘’…–—¡¿"
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
@@ -89,9 +91,9 @@ def gram(a: list[str], b: list[str]) -> np.ndarray:
     np.add.at(known, (place, rb), wb)
     where = np.full(1 << BITS, len(used), np.int32)
     where[used] = np.arange(len(used), dtype=np.int32)
-    out = np.zeros((len(a), len(b)))
-    for at in range(0, len(a), 4096):
-        r, h, w = subsequences(a[at : at + 4096])
+    out = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, len(a), WORDS // 4):
+        r, h, w = subsequences(a[at : at + WORDS // 4])
         hit = where[h] < len(used)
         r, h, w = r[hit], where[h[hit]], w[hit]
         order = np.argsort(r, kind="stable")
@@ -110,10 +112,10 @@ class SubsequenceMachine:
     def score_units(self, words: list[str]) -> np.ndarray:
         trimmed = [w.strip(_TRIM) or w for w in words]
         out = np.empty(len(words))
-        for at in range(0, len(words), 20_000):
-            some = trimmed[at : at + 20_000]
+        for at in range(0, len(words), WORDS):
+            some = trimmed[at : at + WORDS]
             r, h, w = subsequences(some)
-            out[at : at + 20_000] = np.bincount(r, w * self.weights[h], len(some)) + self.bias
+            out[at : at + WORDS] = np.bincount(r, w * self.weights[h], len(some)) + self.bias
         return out
 
     @staticmethod
@@ -137,7 +139,7 @@ def _squared_hinge(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, pe
         f = x @ w
         up, down = positive * (f < 1), negative * (f > -1)
         grad = x.T @ (up * (f - 1) + down * (f + 1)) + eye @ w
-        step = np.linalg.solve((x * (up + down)[:, None]).T @ x + eye, grad)
+        step = np.linalg.solve(sum(x[at : at + WORDS].T.astype(float) @ (x[at : at + WORDS] * (up + down)[at : at + WORDS, None]) for at in range(0, len(x), WORDS)) + eye, grad)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -203,7 +205,7 @@ def fit(training: DataFrame, landmarks: int = LANDMARKS, max_units: int = UNITS)
     words += [w for _, w in garbled]
     bad = np.concatenate([bad, [bad[i] for i, _ in garbled]])
     good = np.concatenate([good, [good[i] for i, _ in garbled]])
-    x = np.concatenate([gram(words, chosen) @ whiten, np.ones((len(words), 1))], 1)
+    x = np.concatenate([gram(words, chosen) @ whiten.astype(np.float32), np.ones((len(words), 1), np.float32)], 1)
     w = _squared_hinge(x, bad, good, PENALTY)
     folded = np.zeros(1 << BITS)
     for word, a in zip(chosen, whiten @ w[:-1], strict=True):
@@ -215,20 +217,31 @@ def fit(training: DataFrame, landmarks: int = LANDMARKS, max_units: int = UNITS)
     return machine
 
 
+class _Scorer:
+    """Unit scores of texts, with a bounded cache of units; one per worker."""
+
+    def __init__(self, machine: SubsequenceMachine):
+        self.machine, self.memo = machine, {}
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        found = [units(t) if t else set() for t in texts]
+        fresh = list(set().union(*found) - self.memo.keys())
+        if len(self.memo) + len(fresh) > CACHE:
+            self.memo.clear()
+            fresh = list(set().union(*found))
+        self.memo.update(zip(fresh, self.machine.score_units(fresh).tolist(), strict=True))
+        return [np.fromiter(map(self.memo.__getitem__, u), np.float64, len(u)) for u in found]
+
+
 def score_texts(docs: DataFrame, machine: SubsequenceMachine, id_col: str = "doc_id", text_col: str = "text", features: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, score`` (or ``features``) of each row's whole text; null and empty texts score as texts without units."""
     held = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, memo = held.value, {}
-        for b in batches:
-            found = [units(t) if t else set() for t in b.column(1).to_pylist()]
-            fresh = list(set().union(*found) - memo.keys())
-            if len(memo) + len(fresh) > CACHE:
-                memo.clear()
-                fresh = list(set().union(*found))
-            memo.update(zip(fresh, own.score_units(fresh).tolist(), strict=True))
-            scores = [np.fromiter(map(memo.__getitem__, u), np.float64, len(u)) for u in found]
+        own = held.value
+        score = _Scorer(own)
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
+            scores = score(b.column(1).to_pylist())
             if features:
                 out = pa.array([own.features(s) for s in scores], pa.list_(pa.float64()))
             else:
@@ -240,6 +253,20 @@ def score_texts(docs: DataFrame, machine: SubsequenceMachine, id_col: str = "doc
     return picked.mapInArrow(run, f"{id_col} long, {'features array<double>' if features else 'score double'}{kinds}")
 
 
+def with_scores(rows: DataFrame, machine: SubsequenceMachine, text_col: str = "text") -> DataFrame:
+    """All columns of ``rows`` and ``score``, in one pass and without a join. ``rows`` must have no column ``score``."""
+    held = rows.sparkSession.sparkContext.broadcast(machine)
+    at_text, names = rows.columns.index(text_col), [*rows.columns, "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _Scorer(held.value)
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
+            found = pa.array([held.value.probability(s) for s in score(b.column(at_text).to_pylist())], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, found], names)
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> SubsequenceMachine:
     return fit(training_rows(docs, labels, "toxic", positives, negatives))
 
