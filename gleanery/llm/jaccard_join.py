@@ -5,8 +5,9 @@ same way everywhere: ordinary ones by hash, then those with long inverted lists
 in the first n - ceil(t n) + 1. The steps:
 
 1. Each document's set is hashed; equal sets count as one from here on. Prefixes in hash order are dealt out by
-   shingle. A set none of whose prefix shingles has a second owner has no partner and leaves. Shingles with more than
-   ``short`` owners get long lists; the longest of them, up to a fixed number, are broadcast.
+   shingle. A set stays only if some prefix shingle has another owner of fitting size, with enough shingles behind
+   it in both sets to reach T. Over the sets that stay, owners of every shingle are counted; shingles with more than ``short`` have
+   long lists. The longest of them, up to a fixed number, are broadcast.
 2. Sets that remain are ordered anew, long lists last, which is DivideSkip's division: short lists are merged, long
    ones only probed. Owners of each short list are paired with the larger sets among them, and a query's sorted partner
    lists are heap-merged with their counts. A pair survives if its count, and all that could follow the prefixes,
@@ -35,44 +36,47 @@ from .common import materialise, shuffle_partitions
 from .components import connected
 
 SHORT = 32  # owners of a list that is merged; longer lists are probed
+STAY_BROADCAST = 200_000  # sets that may be broadcast by id: some 10 MB
 LONG_LISTS = 500_000  # long lists that are broadcast at most: 4 MB
+SHARED_BITS = 27  # digits of the map of shingles with several owners: 16 MB, broadcast; a full map drops fewer, never more
 HEAVY = 64  # owners of a shingle in one batch beyond which they are not listed there
 FAMILY_ENTRIES = 4_000_000  # shingles of a family that one task searches
-CACHE = 400_000
+DOCS = 2048  # documents that a worker handles at a time
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
-
-
-class Shingler:
-    """Sets of hashed word shingles; one per worker, with a bounded cache of word hashes."""
-
-    def __init__(self, words: int):
-        self.words, self.cache = words, {}
-
-    def _hash(self, word: bytes) -> int:
-        import xxhash
-
-        got = self.cache.get(word)
-        if got is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            got = self.cache[word] = xxhash.xxh3_64_intdigest(word)
-        return got
-
-    def __call__(self, text: str) -> np.ndarray:
-        """Sorted distinct hashes; fewer words than a shingle make one shingle of all of them."""
-        # bytes.lower changes A-Z only, bytes.split cuts at space and the controls 9 to 13 only.
-        tokens = text.encode("utf-8", "surrogatepass").lower().split()
-        if not tokens:
-            return np.zeros(0, np.uint64)
-        w = np.fromiter(map(self._hash, tokens), np.uint64, len(tokens))
-        k = min(self.words, len(w))
-        h = np.full(len(w) - k + 1, k, np.uint64)
-        for j in range(k):
-            h = (h ^ w[j : len(w) - k + 1 + j]) * _MIX
-            h ^= h >> _SHIFT
-        return np.unique(h)
+#: Prefixes are the smallest hashes of a set; times an odd number they spread evenly over parts, one to one.
+_DEAL = np.uint64(0xD6E8FEB86659FD93)
+_UNDEAL = np.uint64(pow(int(_DEAL), -1, 1 << 64))
+_KEY_BITS = np.uint64((1 << 40) - 1)
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; fewer words than a shingle make one shingle of all of them."""
+    from xxhash import xxh3_64_intdigest
+
+    # bytes.lower changes A-Z only, bytes.split cuts at space and the controls 9 to 13 only.
+    tokens = text.encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+    k = min(words, len(w))
+    h = np.full(len(w) - k + 1, k, np.uint64)
+    for j in range(k):
+        h = (h ^ w[j : len(w) - k + 1 + j]) * _MIX
+        h ^= h >> _SHIFT
+    h.sort()
+    return h[_new(h)]
+
+
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows starts, in sorted columns."""
+    first = np.ones(len(columns[0]), bool)
+    if len(first):
+        first[1:] = False
+        for c in columns:
+            first[1:] |= c[1:] != c[:-1]
+    return first
 
 
 def least_overlap(n, percent: int):
@@ -112,24 +116,27 @@ def divide_skip(query: np.ndarray, lists: np.ndarray, starts: np.ndarray, owners
     return found[good], count[good]
 
 
-def _packed(part: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple]:
-    """Rows of aligned columns, gathered by part as bytes."""
-    order = np.argsort(part, kind="stable")
-    bounds = np.searchsorted(part[order], np.arange(parts + 1))
-    columns = tuple(c[order] for c in columns)
-    for p in np.flatnonzero(np.diff(bounds)).tolist():
-        yield p, *(c[bounds[p] : bounds[p + 1]].tobytes() for c in columns)
+def _slices(dealt: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
+    """Parts of sorted, evenly spread hashes: equal ranges."""
+    edges = (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(np.uint64)
+    bounds = [0, *np.searchsorted(dealt, edges).tolist(), len(dealt)]
+    return ((p, slice(a, b)) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if a < b)
 
 
 def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x), kind)
 
 
-def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (whole.slice(at, DOCS) for whole in batches for at in range(0, whole.num_rows, DOCS))
+
+
+def _short_key(key: bytes, n: int) -> int:
+    """A set in prefix entries: its size, up to 2^24 - 1, above 40 bits of its digest."""
+    return min(n, (1 << 24) - 1) << 40 | int.from_bytes(key[:5], "little")
 
 
-FIRST = "part int, ids array<long>, sizes array<int>, keys array<binary>, listed array<boolean>, h binary, k binary, heavy binary"
+FIRST = "part int, ids array<long>, sizes array<int>, keys array<binary>, listed array<boolean>, h binary, k binary, pos binary"
 
 
 def _first_prefixes(words: int, percent: int, parts: int) -> Callable:
@@ -138,30 +145,36 @@ def _first_prefixes(words: int, percent: int, parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        make, turn = Shingler(words), 0
-        for b in batches:
-            ids, sizes, keys, hashes, seen = b.column(0).to_pylist(), [], [], [], {}
+        turn = 0
+        for b in _few(batches):
+            ids, sizes, keys, hashes, seen, len_of = b.column(0).to_pylist(), [], [], [], {}, {}
             for doc, text in zip(ids, b.column(1).to_pylist(), strict=True):
-                s = make(text) if text else np.zeros(0, np.uint64)
+                s = shingle_set(text, words) if text else np.zeros(0, np.uint64)
                 sizes.append(len(s))
-                key = xxhash.xxh3_128_digest(s.tobytes()) if len(s) and doc is not None else None
+                key = xxhash.xxh3_128_digest(s) if len(s) and doc is not None else None
                 keys.append(key)
                 if key and key not in seen:
+                    len_of[key] = len(s)
                     seen[key] = len(hashes)
-                    hashes.append(s[: len(s) - least_overlap(len(s), percent) + 1])
-            lengths = np.fromiter(map(len, hashes), np.int64, len(hashes))
+                    hashes.append(s[: len(s) - least_overlap(len(s), percent) + 1] * _DEAL)
             h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-            owner = np.repeat(np.arange(len(hashes)), lengths)
-            k = np.frombuffer(b"".join(x[:8] for x in seen), np.uint64)[owner] if len(seen) else h
-            # A shingle of very many sets of this batch is known to be long: they needn't be listed one by one.
-            shingle, index, count = np.unique(h, return_inverse=True, return_counts=True)
-            heavy = count > HEAVY
+            order = np.argsort(h)
+            h, owner = h[order], np.repeat(np.arange(len(hashes)), np.fromiter(map(len, hashes), np.int64, len(hashes)))[order]
+            pos = np.minimum(np.concatenate([np.arange(len(x)) for x in hashes]) if hashes else np.zeros(0), 65535).astype(np.uint16)[order]
+            k = np.fromiter((_short_key(x, len_of[x]) for x in seen), np.uint64, len(seen))[owner]
+            # Sets with a shingle of very many sets of this batch stay anyway; they needn't be listed one by one.
+            start = np.flatnonzero(_new(h))
+            count = np.diff(np.concatenate([start, [len(h)]]))
+            heavy = np.repeat(count > HEAVY, count)
             listed = np.zeros(len(hashes), bool)
-            listed[owner[heavy[index]]] = True
-            keep = ~heavy[index]
-            rows = {p: [p, a, c, None] for p, a, c in _packed(_part_of(h[keep], parts), parts, h[keep], k[keep])}
-            for p, a in _packed(_part_of(shingle[heavy], parts), parts, shingle[heavy]):
-                rows.setdefault(p, [p, None, None, None])[3] = a
+            listed[owner[heavy]] = True
+            # One owner stays listed for those of other batches to meet; it has room on both sides.
+            one = np.zeros(len(h), bool)
+            one[start[count > HEAVY]] = True
+            k = np.where(one, k & _KEY_BITS, k)
+            keep = ~heavy | one
+            h, k, pos = h[keep], k[keep], pos[keep]
+            rows = {p: [p, h[x].tobytes(), k[x].tobytes(), pos[x].tobytes()] for p, x in _slices(h, parts)}
             home = turn % parts
             turn += 1
             rows.setdefault(home, [home, None, None, None])
@@ -171,87 +184,196 @@ def _first_prefixes(words: int, percent: int, parts: int) -> Callable:
             cells = [[r[i] for r in rows.values()] for i in range(4)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cells[0], pa.int32()), *[pa.array(x, t) for x, t in zip(docs, kinds, strict=True)], *[pa.array(c, pa.binary()) for c in cells[1:]]],
-                ["part", "ids", "sizes", "keys", "listed", "h", "k", "heavy"],
+                ["part", "ids", "sizes", "keys", "listed", "h", "k", "pos"],
             )
 
     return run
 
 
-SHARED = "kind int, doc_id long, n int, key binary, k long"
+def _range_max(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Largest of ``values[low:high]`` for each pair of bounds; -1 for empty ranges. A table of powers of two."""
+    out = np.full(len(low), -1, np.int64)
+    span = high - low
+    level, table = 0, values
+    while (todo := span >= 1 << level).any():
+        here = todo & (span < 2 << level)
+        i = low[here]
+        out[here] = np.maximum(table[i], table[high[here] - (1 << level)])
+        table = np.maximum(table[: -(1 << level)], table[1 << level :]) if len(table) > 1 << level else table
+        level += 1
+    return out
 
 
-def _shared_sets(short: int) -> Callable:
-    """Kind 0: documents; 1: sets (k) with a shared prefix shingle; 2: long lists (k: shingle, n: owners)."""
+SHARED = "kind int, doc_id long, n int, key binary, k long, listed boolean"
+
+
+def _shared_sets(percent: int) -> Callable:
+    """Kind 0: documents; 1: sets (k) with a prefix shingle that a possible partner owns too."""
 
     def run(group: pa.Table) -> pa.Table:
-        h, k = _joined(group.column("h"), np.uint64), _joined(group.column("k"), np.uint64)
-        order = np.lexsort((k, h))
-        h, k = h[order], k[order]
-        if len(h):
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
-            h, k = h[new], k[new]
-        shingle, index, count = np.unique(h, return_inverse=True, return_counts=True)
-        heavy = np.unique(_joined(group.column("heavy"), np.uint64))
-        marked = np.isin(shingle, heavy)
-        sets = np.unique(k[(count > 1)[index] | marked[index]])
-        longs = np.concatenate([shingle[count > short], heavy])
-        owners = np.concatenate([count[count > short], np.full(len(heavy), HEAVY)])
-        longs, first = np.unique(longs, return_index=True)
-        owners = owners[first]
-        docs = [pa.concat_arrays(group.column(c).combine_chunks().flatten().chunks) if isinstance(group.column(c).combine_chunks(), pa.ChunkedArray) else group.column(c).combine_chunks().flatten() for c in ("ids", "sizes", "keys", "listed")]
-        d, s, g = len(docs[0]), len(sets), len(longs)
+        h, k, pos = (_joined(group.column(c), t) for c, t in (("h", np.uint64), ("k", np.uint64), ("pos", np.uint16)))
+        order = np.argsort(h)
+        # Most shingles have one owner: those go first.
+        again = np.zeros(len(h), bool)
+        same = h[order[1:]] == h[order[:-1]]
+        again[1:] = same
+        again[:-1] |= same
+        order = order[again]
+        h, k, pos = h[order], k[order], pos[order].astype(np.int64)
+        order = np.lexsort((pos, k, h))  # by size within a list, as the key begins with it
+        h, k, pos = h[order], k[order], pos[order]
+        new = _new(h, k)
+        h, k, pos = h[new], k[new], pos[new]
+        n = (k >> np.uint64(40)).astype(np.int64)
+        # Size 0 marks an owner that stands for very many; size 2^24 - 1 may be larger: both fit anything.
+        vague = (n == 0) | (n == (1 << 24) - 1)
+        behind = np.where(vague | (pos == 65535), 1 << 40, n - pos)
+        # Owners of sizes n and m may link here only if both have T(n, m) shingles from this one on, that is
+        # m <= room(n) and n <= room(m) with room = behind * (100 + percent) / percent - size. So an owner stays
+        # if, among those of fitting size in its list, the largest room (but its own) is at least its size.
+        room = np.minimum(behind * (100 + percent) // percent - n, 1 << 24)
+        room[vague] = 1 << 24
+        lists = np.cumsum(_new(h)) - 1 if len(h) else n
+        at = (lists << 26) + n
+        low = np.searchsorted(at, (lists << 26) + np.where(vague, 0, least_overlap(n, percent)))
+        high = np.searchsorted(at, (lists << 26) + np.where(vague, 1 << 25, np.minimum(n * 100 // percent, room)), "right")
+        own = np.arange(len(h))
+        best = np.maximum(_range_max(room, low, np.minimum(own, high)), _range_max(room, np.maximum(own + 1, low), high))
+        # An owner that stands for others fits all of its list, whatever their size.
+        crowd = np.zeros(int(lists[-1]) + 1 if len(h) else 0, np.int64)
+        np.add.at(crowd, lists[vague], 1)
+        stays = (best >= n) | ((crowd[lists] - vague) > 0) if len(h) else vague
+        sets = np.unique(k[stays & (n > 0)])
+        docs = []
+        for c in ("ids", "sizes", "keys", "listed"):
+            flat = group.column(c).combine_chunks()
+            docs.append((flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat).flatten())
+        d, g = len(docs[0]), len(sets)
+        own = [None if key is None else _short_key(key, size) for key, size in zip(docs[2].to_pylist(), docs[1].to_pylist(), strict=True)]
         return pa.table(
             {
-                "kind": pa.array(np.repeat([0, 1, 2], [d, s, g]), pa.int32()),
-                "doc_id": pa.concat_arrays([docs[0], pa.nulls(s + g, pa.int64())]),
-                "n": pa.concat_arrays([docs[1], pa.nulls(s, pa.int32()), pa.array(owners, pa.int32())]),
-                "key": pa.concat_arrays([docs[2], pa.nulls(s + g, pa.binary())]),
-                # For documents: 1 if a heavy shingle of their batch is in their prefix.
-                "k": pa.concat_arrays([docs[3].cast(pa.int64()), pa.array(sets.view(np.int64), pa.int64()), pa.array(longs.view(np.int64), pa.int64())]),
+                "kind": pa.array(np.repeat([0, 1], [d, g]), pa.int32()),
+                "doc_id": pa.concat_arrays([docs[0], pa.nulls(g, pa.int64())]),
+                "n": pa.concat_arrays([docs[1], pa.nulls(g, pa.int32())]),
+                "key": pa.concat_arrays([docs[2], pa.nulls(g, pa.binary())]),
+                "k": pa.concat_arrays([pa.array(own, pa.uint64()).view(pa.int64()), pa.array(sets.view(np.int64), pa.int64())]),
+                "listed": pa.concat_arrays([docs[3], pa.nulls(g, pa.bool_())]),
             }
         )
 
     return run
 
 
-def _whole_sets(words: int, long) -> Callable:
-    """Whole sets of the documents that stay: short lists first, each part by hash."""
+def _whole_sets(words: int) -> Callable:
+    """Whole sets of the documents that stay, by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        make = Shingler(words)
-        for b in batches:
-            out: tuple[list, ...] = ([], [], [], [])
+        for b in _few(batches):
+            out: tuple[list, ...] = ([], [], [])
             for doc, text, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = make(text)
-                if xxhash.xxh3_128_digest(s.tobytes()) != key:  # another text under the same id
-                    continue
-                place = np.searchsorted(long.value, s)
-                is_long = long.value[np.minimum(place, len(long.value) - 1)] == s if len(long.value) else np.zeros(len(s), bool)
-                for column, value in zip(out, (doc, len(s), int((~is_long).sum()), np.concatenate([s[~is_long], s[is_long]]).tobytes()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["id", "n", "n_short", "shingles"])
+                s = shingle_set(text, words)
+                if xxhash.xxh3_128_digest(s) == key:  # else another text under the same id
+                    for column, value in zip(out, (doc, len(s), s.tobytes()), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["id", "n", "shingles"])
 
     return run
 
 
-def _second_prefixes(percent: int, parts: int) -> Callable:
-    """Prefix entries under the second order: shingle, set, its size, and what may follow the listed part."""
+def _owners(parts: int) -> Callable:
+    """All shingles of a batch of sets, with the number of owners in the batch, by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cells: list[list[np.ndarray]] = [[], [], [], [], []]
-            for doc, n, n_short, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                prefix = n - least_overlap(n, percent) + 1
-                s = np.frombuffer(raw, np.uint64)[:prefix]
-                rest = n - min(prefix, n_short)
-                for cell, value in zip(cells, (s, np.full(len(s), doc, np.int64), np.full(len(s), n, np.int32), np.full(len(s), rest, np.int32), np.arange(len(s)) >= n_short), strict=True):
-                    cell.append(value)
-            if cells[0]:
-                h, *more = (np.concatenate(c) for c in cells)
-                rows = list(zip(*_packed(_part_of(h, parts), parts, h, *more), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], ["part", "h", "id", "n", "rest", "long"])
+        for b in _few(batches):
+            h = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64) * _DEAL
+            h.sort()
+            start = np.flatnonzero(_new(h))
+            count = np.diff(np.concatenate([start, [len(h)]]))
+            h = h[start]
+            more = np.flatnonzero(count > 1)  # counts of one aren't written out
+            rows = [(p, h[x].tobytes(), (more[(more >= x.start) & (more < x.stop)] - x.start).astype(np.uint32).tobytes(), count[more[(more >= x.start) & (more < x.stop)]].astype(np.uint32).tobytes()) for p, x in _slices(h, parts)]
+            if rows:
+                cells = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cells[1:]]], ["part", "h", "at", "count"])
+
+    return run
+
+
+def _long_lists(short: int) -> Callable:
+    def run(group: pa.Table) -> pa.Table:
+        hashes, counts = [], []
+        for raw, at, count in zip(*(group.column(c).to_pylist() for c in ("h", "at", "count")), strict=True):
+            h = np.frombuffer(raw, np.uint64)
+            c = np.ones(len(h), np.int64)
+            c[np.frombuffer(at, np.uint32)] = np.frombuffer(count, np.uint32)
+            hashes.append(h)
+            counts.append(c)
+        h, c = np.concatenate(hashes), np.concatenate(counts)
+        order = np.argsort(h)
+        h, c = h[order], c[order]
+        start = np.flatnonzero(_new(h))
+        total = np.add.reduceat(c, start) if len(start) else c
+        own = total > short
+        # Shingles of two owners at least, as bits of their leading digits; the part's range of bits in one row.
+        bit = (h[start][total > 1] >> np.uint64(64 - SHARED_BITS)).astype(np.int64)
+        base = int(bit[0]) // 8 if len(bit) else 0
+        flags = np.zeros(int(bit[-1]) - 8 * base + 1 if len(bit) else 0, bool)
+        flags[bit - 8 * base] = True
+        n = int(own.sum())
+        return pa.table(
+            {
+                "h": pa.array([*h[start][own].view(np.int64).tolist(), None], pa.int64()),
+                "n": pa.array([*total[own].tolist(), None], pa.int64()),
+                "base": pa.array([None] * n + [base], pa.int64()),
+                "bits": pa.array([None] * n + [np.packbits(flags, bitorder="little").tobytes()], pa.binary()),
+            }
+        )
+
+    return run
+
+
+def _bit_map(rows: pa.Table) -> np.ndarray:
+    """The parts' ranges of bits as one map of fixed size."""
+    out = np.zeros(1 << (SHARED_BITS - 3), np.uint8)
+    for base, bits in zip(rows.column("base").to_pylist(), rows.column("bits").to_pylist(), strict=True):
+        own = np.frombuffer(bits, np.uint8)
+        out[base : base + len(own)] |= own
+    return out
+
+
+def _second_prefixes(percent: int, parts: int, long, owned) -> Callable:
+    """Prefix entries under the second order: shingle, set, its size, what may follow the listed part, if long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = long.value
+        for b in _few(batches):
+            ids, n = (b.column(i).to_numpy().astype(np.int64) for i in range(2))
+            if not len(ids):
+                continue
+            whole = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64) * _DEAL
+            place = np.searchsorted(known, whole)
+            is_long = known[np.minimum(place, len(known) - 1)] == whole if len(known) else np.zeros(len(whole), bool)
+            of = np.repeat(np.arange(len(ids)), n)
+            order = np.lexsort((is_long, of))  # stable: by hash among the long and among the others
+            whole, is_long = whole[order], is_long[order]
+            n_short = np.bincount(of, ~is_long, len(ids)).astype(np.int64)
+            prefix = n - least_overlap(n, percent) + 1
+            listed = np.arange(len(whole)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(prefix, n)
+            h, long_too, owner = whole[listed], is_long[listed], of[listed]
+            # Shingles of one owner join nothing.
+            bit = (h >> np.uint64(64 - SHARED_BITS)).astype(np.int64)
+            keep = owned.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0
+            h, long_too, owner = h[keep], long_too[keep], owner[keep]
+            if not len(h):
+                continue
+            order = np.argsort(h)
+            h, owner, long_too = h[order], owner[order], long_too[order]
+            columns = (h, ids[owner], n[owner].astype(np.int32), (n - np.minimum(prefix, n_short))[owner].astype(np.int32), long_too)
+            rows = [(p, *(c[x].tobytes() for c in columns)) for p, x in _slices(h, parts)]
+            cells = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cells[1:]]], ["part", "h", "id", "n", "rest", "long"])
 
     return run
 
@@ -259,41 +381,58 @@ def _second_prefixes(percent: int, parts: int) -> Callable:
 def _partners(percent: int, parts: int) -> Callable:
     """Of one part's lists: partner runs of each query by part of the query, and stars of dense sets.
 
-    ``partners`` are (query, partner, count, least count) rows sorted by both; ``stars`` (a, b) rows.
+    A run is (query, partner, count, least count) rows sorted by both; stars are (a, b) rows.
     """
 
     def run(group: pa.Table) -> pa.Table:
         h, own, n, rest, long = (_joined(group.column(c), t) for c, t in (("h", np.uint64), ("id", np.int64), ("n", np.int32), ("rest", np.int32), ("long", np.bool_)))
-        order = np.lexsort((own, n, h))
+        order = np.argsort(h)
+        again = np.zeros(len(h), bool)
+        same = h[order[1:]] == h[order[:-1]]
+        again[1:] = same
+        again[:-1] |= same
+        order = order[again]
         h, own, n, rest, long = h[order], own[order], n[order].astype(np.int64), rest[order].astype(np.int64), long[order]
-        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        size = np.diff(np.concatenate([start, [len(h)]]))
-        list_of = np.repeat(np.arange(len(start)), size)
-        first = start[list_of] if len(h) else start
-        star = long & (own != own[first]) if len(h) else long
-        stars = np.unique(np.stack([own[first][star], own[star]], 1), axis=0) if star.any() else np.zeros((0, 2), np.int64)
-        # Position j of a list with every earlier position: the later set is the larger, and the query.
-        begin = np.where(long, np.arange(len(h)), first) if len(h) else first
-        found: list[np.ndarray] = []
-        for at in range(0, len(h), 1 << 16):
-            j = np.arange(at, min(at + (1 << 16), len(h)))
+        # Sets by size, then id: in a list, a later set is the query and each earlier one a partner.
+        ids, first, at = np.unique(own, return_index=True, return_inverse=True)
+        by = np.lexsort((ids, n[first]))
+        ids, n, rest = ids[by], n[first][by], rest[first][by]
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        local = rank[at]
+        order = np.lexsort((local, h))
+        h, local, long = h[order], local[order], long[order]
+        new = _new(h, local)
+        h, local, long = h[new], local[new], long[new]
+        start = np.flatnonzero(_new(h))
+        begin = np.repeat(start, np.diff(np.concatenate([start, [len(h)]])))
+        star = long & (begin != np.arange(len(h)))
+        stars = np.unique(local[begin[star]] * len(ids) + local[star]) if star.any() else np.zeros(0, np.int64)
+        rows = [(p, None, None, None, None, a.tobytes(), b.tobytes()) for p, a, b in [(int(x) % parts, ids[stars // len(ids)][i : i + 65536], ids[stars % len(ids)][i : i + 65536]) for x, i in enumerate(range(0, len(stars), 65536))]]
+        # Each position of a short list with every earlier one; only partners of fitting size.
+        begin = np.where(long, np.arange(len(h)), begin)
+        least = np.searchsorted(n, -(-n * percent // 100))
+        codes = []
+        for at in range(0, len(h), 1 << 15):
+            j = np.arange(at, min(at + (1 << 15), len(h)))
             many = j - begin[j]
-            big = np.repeat(j, many)
-            small = np.repeat(begin[j] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            fit = (n[small] * 100 >= n[big] * percent) & (own[small] != own[big])
-            big, small = big[fit], small[fit]
-            need = pair_overlap(n[big], n[small], percent) - np.maximum(rest[big], rest[small])
-            found.append(np.stack([own[big], own[small], np.maximum(1, need)], 1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        pairs = pairs[order]
-        new = np.flatnonzero(np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(1)])) if len(pairs) else np.zeros(0, np.int64)
-        count = np.diff(np.concatenate([new, [len(pairs)]])).astype(np.int32)
-        pairs = pairs[new]
-        to = (pairs[:, 0].astype(np.uint64) * _MIX >> np.uint64(33)).astype(np.int64) % parts
-        rows = list(_packed(to, parts, pairs[:, 0], pairs[:, 1], count, pairs[:, 2].astype(np.int32)))
-        rows = [(p, *r, None, None) for p, *r in rows]
-        rows += [(p, None, None, None, None, *r) for p, *r in _packed(np.abs(stars[:, 0]) % parts, parts, stars[:, 0].copy(), stars[:, 1].copy())]
+            small = local[np.repeat(begin[j] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            big = np.repeat(local[j], many)
+            fit = small >= least[big]
+            codes.append(big[fit] * len(ids) + small[fit])
+        code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        del codes
+        code.sort()
+        start = np.flatnonzero(_new(code))
+        count = np.diff(np.concatenate([start, [len(code)]])).astype(np.int32)
+        big, small = np.divmod(code[start], max(1, len(ids)))
+        need = np.maximum(1, pair_overlap(n[big], n[small], percent) - np.maximum(rest[big], rest[small])).astype(np.int32)
+        possible = need <= np.minimum(n[big], n[small])
+        big, small, count, need = ids[big[possible]], ids[small[possible]], count[possible], need[possible]
+        dealt = big.astype(np.uint64) * _DEAL
+        order = np.lexsort((small, dealt))
+        dealt, big, small, count, need = dealt[order], big[order], small[order], count[order], need[order]
+        rows += [(p, big[x].tobytes(), small[x].tobytes(), count[x].tobytes(), need[x].tobytes(), None, None) for p, x in _slices(dealt, parts)]
         cells = list(zip(*rows, strict=True)) or [()] * 7
         return pa.table([pa.array(cells[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cells[1:]]], ["part", "query", "partner", "count", "least", "star_a", "star_b"])
 
@@ -308,7 +447,8 @@ def _merged(group: pa.Table) -> pa.Table:
     runs = []
     for q, b, c, t in zip(*(group.column(x).to_pylist() for x in ("query", "partner", "count", "least")), strict=True):
         if q:
-            runs.append(zip(np.frombuffer(q, np.int64).tolist(), np.frombuffer(b, np.int64).tolist(), np.frombuffer(c, np.int32).tolist(), np.frombuffer(t, np.int32).tolist(), strict=True))
+            q = (np.frombuffer(q, np.uint64) * _DEAL).tolist()
+            runs.append(zip(q, np.frombuffer(b, np.int64).tolist(), np.frombuffer(c, np.int32).tolist(), np.frombuffer(t, np.int32).tolist(), strict=True))
     a_out, b_out, query, partner, total, least = [], [], None, None, 0, 1
     for q, b, c, t in heapq.merge(*runs):
         if b == partner and q == query:
@@ -322,7 +462,8 @@ def _merged(group: pa.Table) -> pa.Table:
         a_out.append(query)
         b_out.append(partner)
     stars = [_joined(group.column(c), np.int64) for c in ("star_a", "star_b")]
-    return pa.table({"a": pa.array(np.concatenate([np.array(a_out, np.int64), stars[0]])), "b": pa.array(np.concatenate([np.array(b_out, np.int64), stars[1]]))})
+    back = (np.array(a_out, np.uint64) * _UNDEAL).view(np.int64)
+    return pa.table({"a": pa.array(np.concatenate([back, stars[0]])), "b": pa.array(np.concatenate([np.array(b_out, np.int64), stars[1]]))})
 
 
 def _search(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], percent: int, left: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -432,24 +573,31 @@ def jaccard_groups(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     first = texts.mapInArrow(_first_prefixes(words, percent, parts), FIRST)
-    shared = materialise(first.groupBy("part").applyInArrow(_shared_sets(short), SHARED), "shared")
-    rows = shared.where("kind = 0").select("doc_id", "n", "key", (F.col("k") == 1).alias("listed"))
-    reps = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.max("listed").alias("listed"))
-    reps = materialise(reps.withColumn("k", _low_long("key")), "reps")
+    shared = materialise(first.groupBy("part").applyInArrow(_shared_sets(percent), SHARED), "shared")
+    rows = shared.where("kind = 0").select("doc_id", "n", "key", "k", "listed")
+    reps = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.max("listed").alias("listed"), F.max("k").alias("k"))
+    reps = materialise(reps, "reps")
     sharing = shared.where("kind = 1").select("k").distinct()
-    stay = reps.where("listed").select("id", "key").unionAll(reps.where("not listed").join(sharing, "k", "left_semi").select("id", "key"))
-
-    most = shared.where("kind = 2").groupBy("k").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k").limit(LONG_LISTS)
-    long = np.sort(most.select("k").toArrow().column("k").to_numpy().view(np.uint64))
-    long = spark.sparkContext.broadcast(long)
-    sets = texts.where("text is not null").join(stay, "id").select("id", "text", "key").mapInArrow(_whole_sets(words, long), "id long, n int, n_short int, shingles binary")
-    sets = materialise(sets, "sets")
-
-    second = sets.mapInArrow(_second_prefixes(percent, parts), "part int, h binary, id binary, n binary, rest binary, long binary")
+    stay = materialise(reps.where("listed").select("id", "key").unionAll(reps.where("not listed").join(sharing, "k", "left_semi").select("id", "key")), "stay")
+
+    # Where few sets stay they are broadcast, so that texts aren't shuffled; otherwise the join is by sorting.
+    small = stay.count() <= STAY_BROADCAST
+    picked = texts.where("text is not null").join(F.broadcast(stay) if small else stay, "id").select("id", "text", "key")
+    sets = materialise(picked.mapInArrow(_whole_sets(words), "id long, n int, shingles binary"), "sets")
+    counted = sets.select("shingles").mapInArrow(_owners(parts), "part int, h binary, at binary, count binary")
+    counts = materialise(counted.groupBy("part").applyInArrow(_long_lists(short), "h long, n long, base long, bits binary"), "counts")
+    most = counts.where("h is not null").orderBy(F.desc("n"), "h").limit(LONG_LISTS).select("h").toArrow()
+    long = spark.sparkContext.broadcast(np.sort(most.column("h").to_numpy().view(np.uint64)))
+    owned = spark.sparkContext.broadcast(_bit_map(counts.where("bits is not null").select("base", "bits").toArrow()))
+
+    second = sets.mapInArrow(_second_prefixes(percent, parts, long, owned), "part int, h binary, id binary, n binary, rest binary, long binary")
     partners = second.groupBy("part").applyInArrow(_partners(percent, parts), PARTNERS)
     ties = partners.groupBy("part").applyInArrow(_merged, "a long, b long")
     family = connected(ties)
-    members = sets.join(family.withColumnRenamed("node", "id"), "id").select("id", "n", "shingles", F.col("root").alias("family"))
+    family = materialise(family, "family")
+    few = family.count() <= STAY_BROADCAST
+    named = family.withColumnRenamed("node", "id")
+    members = sets.join(F.broadcast(named) if few else named, "id").select("id", "n", "shingles", F.col("root").alias("family"))
     sizes = materialise(sets.select("id", "n").join(family.withColumnRenamed("node", "id"), "id").groupBy("root").agg(F.sum("n").alias("entries"), F.count(F.lit(1)).alias("members")), "families")
     large = sizes.where(F.col("entries") > family_entries).select(F.col("root").alias("family"), F.ceil(2 * F.col("entries") / family_entries).cast("int").alias("blocks"))
     members = members.join(large, "family", "left")
@@ -473,12 +621,5 @@ def jaccard_groups(
     )
 
 
-def _low_long(column: str):
-    """The first eight bytes of a binary column as a little-endian long, as the packed entries have them."""
-    swapped = F.concat(*[F.substring(F.hex(column), 2 * i + 1, 2) for i in reversed(range(8))])
-    high = F.conv(F.substring(swapped, 1, 8), 16, 10).cast("long")
-    return F.shiftleft(high, 32).bitwiseOR(F.conv(F.substring(swapped, 9, 8), 16, 10).cast("long"))
-
-
 def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
