@@ -83,3 +83,12 @@ def context(text: Column, keyword: str, before: int = 100, after: int = 800) ->
     """Window of text around the first keyword, null without one."""
     at = F.regexp_instr(text, F.lit(f"(?iu){keyword}"))
     return F.when(at > 0, F.substring(text, F.greatest(F.lit(1), at - before), F.lit(before + after)))
+
+
+def name_role(line: Column) -> Column:
+    """Name and role of ``Name Name Role ...``: the name ends where a capitalised word begins like a role, the role at a phone or label."""
+    word, low = r"[A-ZÆØÅÄÖÜ][a-zæøåäöüß'\-]+", f"(?iu:{fixed.ROLES})"
+    name = F.regexp_extract(line, rf"^((?:(?!{low}){word}\s+)*(?!{low}){word})(?:\s|$)", 1)
+    rest = F.trim(F.substring(line, F.length(name) + 1, F.length(line)))
+    role = F.regexp_extract(rest, r"(?i)^(.+?)\s*(?:\+?\d[\d\s\-]{6,}|Kopier|telefon:|tel:|mob:|email|e-post|@|$)", 1)
+    return F.struct(filled(name).alias("name"), F.when(name != "", filled(F.left(F.regexp_replace(role, r"^[ ,;:]+|[ ,;:]+$", ""), F.lit(120)))).alias("role"))

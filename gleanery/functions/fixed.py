@@ -149,3 +149,9 @@ salary_currency salary_period posted_date valid_through start_date application_e
 recruiter_name recruiter_email recruiter_phone recruiter_title responsibilities requirements qualifications benefits
 tech_stack skills language remote_type
 """.split()
+
+# Beginnings of words that name a role.
+ROLES = (
+    "leder|sjef|direktør|direktor|seksjonssjef|avdelingsleder|konsulent|spesialist|senioringeniør|ingeniør|rådgiver|manager|partner|head|chief|owner|coordinator|recruiter|talent|hr|"
+    "sykepleier|lege|teamleder|prosjektleder|sjefen|medarbeider|representant|developer|engineer|architect|founder|cto|ceo|cmo|cfo|coo|cio"
+)

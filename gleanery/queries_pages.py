@@ -10,7 +10,7 @@ from .functions import contact, fixed, salary, scoring, text
 from .operators import ordered
 from .plans import general, jobs
 from .queries import _values, query, table
-from .sources import html, payloads, registry, structured
+from .sources import html, payloads, registry, selectors, sinks, structured
 
 # Pages of the fixtures ----------------------------------------------------------------------------------------------------
 
@@ -260,3 +260,48 @@ def job_plan(spark, sf):
     detail = detail.select("url", *[F.col(f) if f in detail.columns else F.lit(None).cast("string").alias(f) for f in fixed.JOB_FIELDS])
     made = jobs.run(stubs, detail, registry.Filters(include=["Python"], locations=["oslo"]), F.lit("2024-01-01 00:00:00").cast("timestamp"))
     return made.select("job_url", "title", "remote_type", F.lower(F.array_join("keywords_matched", ",")).alias("keywords"))
+
+
+_LIST = """<ul><li class="result-1"><a href="/joboffer/1"><h3>Cook</h3></a><span class="x company">Inn</span><i class="location">Bern</i></li>
+<li class="result-2"><a href="/joboffer/2"><h3>Baker</h3></a></li><li class="result-3"><a href="/joboffer/2">again</a></li><li class="result-4">no link</li></ul>"""
+
+
+@query("SELECT * FROM (VALUES (0, 'Cook', 'Inn', 'Bern', 'https://ch.jobrapido.com/joboffer/1'), (1, 'Baker', '', '', 'https://ch.jobrapido.com/joboffer/2')) t(position, title, company, location, card_url)")
+def site_cards(spark, sf):
+    pages = spark.createDataFrame([("https://ch.jobrapido.com/q", _LIST), ("https://unknown.org/", _LIST)], "url string, html string")
+    return selectors.site_cards(pages).select("position", "title", "company", "location", "card_url")
+
+
+@query("SELECT * FROM (VALUES ('greenhouse', 'Chef', 'Oslo', 'https://boards.greenhouse.io/apply', '12'), (NULL, 'Head', NULL, NULL, '12')) t(source_ats, title, location, apply_url, reference)")
+def learned_selectors(spark, sf):
+    """Rules of a known hiring system first; a learned map fills the rest, by selector and by pattern."""
+    page = '<div class="app-title">Chef</div><p class="location">Oslo</p><a id="apply_button" href="/apply">go</a><h1>Head</h1><p>Ref: 12</p>'
+    pages = spark.createDataFrame([("https://boards.greenhouse.io/a", page, {"reference": r"TEXT:Ref:\s*(\d+)", "title": "h1"}), ("https://x.org/a", page, {"reference": r"TEXT:Ref:\s*(\d+)", "title": "h1"})], "url string, html string, field_map map<string,string>")
+    got = selectors.selected_fields(pages)
+    return got.select("source_ats", *[F.try_element_at("fields", F.lit(k)).alias(k) for k in ("title", "location", "apply_url", "reference")])
+
+
+@query("SELECT s_suppkey, '{\"Name\":{\"title\":[{\"text\":{\"content\":\"' || s_name || '\"}}]},\"Link\":{\"url\":\"u' || s_suppkey || '\"},\"Note\":{\"rich_text\":[{\"text\":{\"content\":\"' || s_nationkey || '\"}}]}}' AS properties FROM supplier")
+def page_properties(spark, sf):
+    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("title"), F.concat(F.lit("u"), "s_suppkey").alias("job_url"), F.col("s_nationkey").alias("note"))
+    return s.select("s_suppkey", sinks.properties({"title": "Name", "job_url": "Link", "note": "Note"}).alias("properties"))
+
+
+_NAMES = [("Kari Nordmann Seksjonssjef +47 11 22 33 44", "Kari Nordmann", "Seksjonssjef"), ("Ola Hansen prosjektleder for data", "Ola Hansen", "prosjektleder for data"), ("no name here", None, None)]
+
+
+@query(_values(_NAMES, "line, name, role"))
+def name_and_role(spark, sf):
+    rows = spark.createDataFrame([(n[0],) for n in _NAMES], "line string")
+    return rows.select("line", contact.name_role(F.col("line")).alias("x")).select("line", "x.name", "x.role")
+
+
+@query("SELECT 'Kontakt: Frist 1.2.2025, Yrke: Kokk' AS line, '1.2.2025' AS deadline, 'Kokk' AS trade, 'Kontakt: Frist' AS around")
+def labelled_values(spark, sf):
+    rows, line = spark.createDataFrame([("Kontakt: Frist 1.2.2025, Yrke: Kokk",)], "line string"), F.col("line")
+    return rows.select(
+        "line",
+        text.labelled_value(line, "Frist", r"(\d{1,2}\.\d{1,2}\.\d{2,4})").alias("deadline"),
+        text.labelled_value(line, "Yrke", r"([A-ZÆØÅa-zæøå][^\n]{3,80})").alias("trade"),
+        F.left(contact.context(line, r"\bkontakt\b", 10, 100), F.lit(14)).alias("around"),
+    )
