@@ -31,7 +31,9 @@ def _listings(items: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _items(payloads: DataFrame, schema: str, array: str | None = None) -> DataFrame:
-    body = F.from_json("body", schema)
+    # A lone object would be read as a list of one.
+    shape = "{" if array else "["
+    body = F.from_json(F.when(F.ltrim("body").startswith(shape), F.col("body")), schema)
     return payloads.select("slug", F.posexplode(body[array] if array else body).alias("position", "x"))
 
 
