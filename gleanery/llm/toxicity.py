@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialise
 from .labelled import held_out, read, training_rows
 
 SPAN, DECAY, BITS = 6, 0.7, 20
 LONG, WINDOW = 40, 24
 POSITIVES, NEGATIVES, UNITS = 3000, 5000, 60_000
-LANDMARKS = 160
-PENALTY = 1.0
+LANDMARKS = 240
+PENALTY = 0.1
+PRIOR, TELLING, ALIKE = 1.0, 1.5, 0.8  # smoothing of evidence, least evidence of a toxic unit, kernel of too similar landmarks
 CACHE = 300_000
 ROWS, WORDS = 512, 4096  # documents and words handled at a time by a worker
 
@@ -39,6 +41,7 @@ _SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 _SENTENCE = re.compile(r"[.!?]\s|\n")
 # Offsets of the characters of a subsequence after its first, for spans up to SPAN.
 _STEPS = [(0, *c) for n in (3, 4) for c in combinations(range(1, SPAN), n - 1)]
+_WHOLE = [(0, 1, 2), (0, 1, 2, 3)]  # without gaps
 
 
 def units(text: str) -> set[str]:
@@ -53,7 +56,7 @@ def units(text: str) -> set[str]:
     return found
 
 
-def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def subsequences(words: list[str], steps: list[tuple[int, ...]] = _STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, hashed bin and weight of every subsequence occurrence; weights of a row have unit length."""
     rows, bins, weights = [], [], []
     by_size: dict[int, list[int]] = {}
@@ -63,7 +66,7 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         text = "".join("\x02" + words[i] + "\x03" for i in own)
         chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), size + 2).astype(np.uint64)
         got_bins, got_weights = [], []
-        for step in _STEPS:
+        for step in steps:
             count = size + 2 - step[-1]
             if count < 1:
                 continue
@@ -87,19 +90,19 @@ def gram(a: list[str], b: list[str]) -> np.ndarray:
     """Kernel values of two lists of units."""
     rb, hb, wb = subsequences(b)
     used, place = np.unique(hb, return_inverse=True)
-    known = np.zeros((len(used) + 1, len(b)))
+    known = np.zeros((len(used) + 1, len(b)), np.float32)
     np.add.at(known, (place, rb), wb)
     where = np.full(1 << BITS, len(used), np.int32)
     where[used] = np.arange(len(used), dtype=np.int32)
     out = np.zeros((len(a), len(b)), np.float32)
-    for at in range(0, len(a), WORDS // 4):
-        r, h, w = subsequences(a[at : at + WORDS // 4])
+    for at in range(0, len(a), WORDS // 8):
+        r, h, w = subsequences(a[at : at + WORDS // 8])
         hit = where[h] < len(used)
         r, h, w = r[hit], where[h[hit]], w[hit]
         order = np.argsort(r, kind="stable")
         r, start = np.unique(r[order], return_index=True)
         if len(start):
-            out[at + r] = np.add.reduceat(known[h[order]] * w[order][:, None], start)
+            out[at + r] = np.add.reduceat(known[h[order]] * w[order].astype(np.float32)[:, None], start)
     return out
 
 
@@ -166,11 +169,34 @@ def _garbled(word: str, i: int) -> str:
     return word[:at] + mark + word[at:]
 
 
+def _evidence(table: DataFrame) -> tuple[np.ndarray, float]:
+    """Log ratio of toxic to clean sentences for every hashed run of three or four characters, over all units of the sample, and
+    the ratio of all toxic to all clean ones.
+
+    Tasks emit sums over the fixed number of bins, so the driver gets arrays of bounded size from few tasks.
+    """
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, 1 << BITS), np.float32)
+        for b in (whole.slice(at, WORDS) for whole in batches for at in range(0, whole.num_rows, WORDS)):
+            r, h, _ = subsequences(b.column(0).to_pylist(), _WHOLE)
+            for k in (0, 1):
+                np.add.at(sums[k], h, b.column(k + 1).to_numpy()[r].astype(np.float32))
+        yield pa.RecordBatch.from_arrays([pa.array([pa.compress(sums.tobytes(), "zstd", asbytes=True)], pa.binary())], ["sums"])
+
+    total = np.zeros((2, 1 << BITS), np.float32)
+    for (packed,) in table.coalesce(4).mapInArrow(summed, "sums binary").toLocalIterator():
+        total += np.frombuffer(pa.decompress(bytes(packed), total.nbytes, "zstd", asbytes=True), np.float32).reshape(2, -1)
+    share = float(total[0].sum() / max(total[1].sum(), 1e-9))
+    return np.log((total[0] + PRIOR) / (10 * share * total[1] + PRIOR)).astype(np.float32), share
+
+
 def fit(training: DataFrame, landmarks: int = LANDMARKS, max_units: int = UNITS) -> SubsequenceMachine:
     """Fit on a bounded set of labelled texts (``text, label``).
 
-    ``max_units`` bounds the units that reach the driver: those seen in toxic sentences most often first, then the rest in
-    hash order. Without rows of both labels, every document gets the share of label 1 (0.5 of none).
+    Which units of toxic sentences are toxic is not labelled: a unit counts as toxic if its subsequences occur in toxic
+    sentences far beyond their share, counted over the whole sample. ``max_units`` bounds the units that reach the
+    driver: the telling ones first, then the rest in hash order. Without rows of both labels, every document gets the share of label 1 (0.5 of none).
     """
     counts = {r["label"]: r["count"] for r in training.groupBy("label").count().collect()}
     if len(counts) < 2:
@@ -187,21 +213,52 @@ def fit(training: DataFrame, landmarks: int = LANDMARKS, max_units: int = UNITS)
                     label += [y] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(label, pa.int32())], ["unit", "label"])
 
-    table = training.select("text", "label").mapInArrow(seen, "unit string, label int").groupBy("unit").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
-    rows = table.orderBy(F.greatest(F.col("bad") - F.col("good"), F.lit(0)).desc(), F.xxhash64("unit"), "unit").limit(max_units).toPandas()
+    table = training.select("text", "label").mapInArrow(seen, "unit string, label int").groupBy("unit").agg(F.sum("label").cast("double").alias("bad"), F.sum(1 - F.col("label")).cast("double").alias("good"))
+    table = materialise(table, "units")
+    evidence = _evidence(table)
+    held = table.sparkSession.sparkContext.broadcast(evidence)
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratios, share = held.value
+        for b in (whole.slice(at, WORDS) for whole in batches for at in range(0, whole.num_rows, WORDS)):
+            r, h, _ = subsequences(b.column(0).to_pylist(), _WHOLE)
+            own = ratios[h]
+            order = np.lexsort((-own, r))
+            r, own = r[order], own[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            family = np.bincount(r[place < 3], own[place < 3], b.num_rows) / 3
+            bad, good = b.column(1).to_numpy(), b.column(2).to_numpy()
+            alone = np.log((bad + PRIOR) / (10 * share * good + PRIOR))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.maximum(family, alone), pa.float64())], ["unit", "bad", "good", "evidence"])
+
+    known = table.mapInArrow(weighed, "unit string, bad double, good double, evidence double")
+    # Units that tell most, and of the rest as many as the bound allows, in hash order.
+    telling = (F.col("evidence") >= TELLING) & (F.col("bad") > F.col("good"))
+    rows = known.orderBy(F.when(telling, F.col("evidence")).otherwise(0.0).desc(), F.xxhash64("unit"), "unit").limit(max_units).toPandas()
     words, bad, good = rows["unit"].tolist(), rows["bad"].to_numpy(float), rows["good"].to_numpy(float)
-
-    # Landmarks: what toxic sentences have most beyond expectation, unlike each other; a quarter are neutral words.
-    order = np.lexsort((np.arange(len(words)), -(bad - good)))[: 4 * landmarks]
-    chosen = [words[i] for i in order if bad[i] > good[i]][: landmarks * 3 // 4]
+    tells = ((rows["evidence"] >= TELLING) & (rows["bad"] > rows["good"])).to_numpy()
+    bad = np.where(tells, bad, 0.0)  # the other units of toxic sentences are no examples of anything
+
+    # Landmarks: what tells most, unlike each other; a quarter are the most frequent neutral units.
+    order = [i for i in np.lexsort((np.arange(len(words)), -(rows["evidence"].to_numpy() * np.log1p(bad)))) if tells[i]]
+    chosen, near = [], np.zeros(len(order[: 8 * landmarks]))
+    r, h, w = subsequences([words[i] for i in order[: 8 * landmarks]])
+    dense = np.zeros(1 << BITS, np.float32)
+    for i in range(len(near)):
+        if len(chosen) < landmarks * 3 // 4 and near[i] < ALIKE:
+            chosen.append(i)
+            dense[:] = 0
+            np.add.at(dense, h[r == i], w[r == i])
+            near = np.maximum(near, np.bincount(r, w * dense[h], len(near)))
+    chosen = [words[order[i]] for i in chosen]
     neutral = np.lexsort((np.arange(len(words)), -good))
-    chosen += [words[i] for i in neutral[: landmarks - len(chosen)]]
+    chosen += [words[i] for i in neutral[: max(landmarks // 4, landmarks - len(chosen))]]
     chosen = list(dict.fromkeys(chosen))
-    value, vector = np.linalg.eigh(gram(chosen, chosen))
+    value, vector = np.linalg.eigh(gram(chosen, chosen).astype(float))
     keep = value > 1e-6 * value.max()
     whiten = vector[:, keep] / np.sqrt(value[keep])
 
-    garbled = [(i, _garbled(words[i], n)) for n, i in enumerate(order) if bad[i] >= 3 * (good[i] + 1)]
+    garbled = [(i, _garbled(words[i], n)) for n, i in enumerate(order[:4000])]
     words += [w for _, w in garbled]
     bad = np.concatenate([bad, [bad[i] for i, _ in garbled]])
     good = np.concatenate([good, [good[i] for i, _ in garbled]])
