@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions
+from .common import arrow_rows, materialise, shuffle_partitions
 from .components import connected
 
 SHORT = 32  # owners of a list that is merged; longer lists are probed
@@ -40,7 +40,7 @@ STAY_BROADCAST = 200_000  # sets that may be broadcast by id: some 10 MB
 LONG_LISTS = 500_000  # long lists that are broadcast at most: 4 MB
 SHARED_BITS = 27  # digits of the map of shingles with several owners: 16 MB, broadcast; a full map drops fewer, never more
 HEAVY = 64  # owners of a shingle in one batch beyond which they are not listed there
-FAMILY_ENTRIES = 4_000_000  # shingles of a family that one task searches
+FAMILY_ENTRIES = 1_000_000  # shingles of a family that one task searches
 DOCS = 2048  # documents that a worker handles at a time
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -128,7 +128,10 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
 
 
 def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (whole.slice(at, DOCS) for whole in batches for at in range(0, whole.num_rows, DOCS))
+    for whole in batches:
+        for at in range(0, whole.num_rows, DOCS):
+            yield whole.slice(at, DOCS)
+        pa.default_memory_pool().release_unused()
 
 
 def _short_key(key: bytes, n: int) -> int:
@@ -568,6 +571,11 @@ def jaccard_groups(
     no shingles and are their own component. Equal sets link. Rows with a null id link with nothing and
     have a null component. Repeated ids share a component if their texts do; the smallest id wins. Extra columns are ignored.
     """
+    with arrow_rows(docs.sparkSession, DOCS):  # every step in Python ends inside
+        return _groups(docs, words, percent, id_col, text_col, short, family_entries)
+
+
+def _groups(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, short: int, family_entries: int) -> DataFrame:
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
