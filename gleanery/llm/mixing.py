@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, materialise, text_or_empty
 
-BLOCKS_PER_SOURCE = 256
+BLOCKS_PER_SOURCE = 1024
 SHARDS = 16
 ROWS_PER_GROUP = 4096
 
@@ -181,7 +181,7 @@ WITH sized AS (
 ), tgt AS (
   SELECT *, CASE WHEN is_full THEN cap
                  ELSE (total - coalesce(sum(cap) FILTER (is_full) OVER (), 0)) / (weights - coalesce(sum(weight) FILTER (is_full) OVER (), 0)) * weight END::DOUBLE AS target,
-         greatest(1, ceil(total / (sources * 256)))::BIGINT AS block
+         greatest(1, ceil(total / (sources * 1024)))::BIGINT AS block
   FROM sat
 ), base AS (
   SELECT *, floor(target / block + 0.5)::BIGINT AS base, round(total / block)::BIGINT AS house FROM tgt
