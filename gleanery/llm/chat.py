@@ -41,6 +41,7 @@ def preference_pairs(
         F.coalesce(F.col(turn_col).cast("long"), F.lit(LAST)).alias("turn"),
         F.struct(F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")).alias("said"),
     ).where("pair_id is not null and good is not null")
+    t = t.repartition("pair_id", "turn")  # one exchange serves the numbering of repeats and the pairing of sides
     t = t.withColumn("dup", F.row_number().over(W.partitionBy("pair_id", "good", "turn").orderBy("said")))
     sides = t.groupBy("pair_id", "turn", "dup").agg(
         F.max(F.when(F.col("good"), F.col("said"))).alias("c"), F.max(F.when(~F.col("good"), F.col("said"))).alias("r")
