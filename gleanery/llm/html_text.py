@@ -25,9 +25,10 @@ DROPPED = set("script style noscript template nav footer aside form button selec
 NAMED = set(
     "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs "
     "footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login search social share sharing related recommended "
-    "comment comments disqus respond replies reply discussion pagination pager widget skip".split()
+    "comment comments disqus respond replies reply discussion pagination pager skip".split()
 )
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+OF_ARTICLE = set("article post entry content story main page body".split())
 KEPT = {"html", "body", "article", "main"}
 REGIONS = {"article", "main"}
 CLOSES_P = set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -71,8 +72,10 @@ class Lines(HTMLParser):
                 continue
             if key == "role" and value.lower() in ROLES:
                 return True
-            if key in ("class", "id") and any(w.lower() in NAMED for w in _NAME.findall(value)):
-                return True
+            if key in ("class", "id"):
+                words = {w.lower() for w in _NAME.findall(value)}
+                if words & NAMED or "header" in words and not inside and not words & OF_ARTICLE:
+                    return True
             if key == "style" and "display:none" in value.replace(" ", "").lower():
                 return True
         return False
@@ -90,7 +93,7 @@ class Lines(HTMLParser):
             if tag in IMPLIED:
                 self._close(*IMPLIED[tag])
         top = self.stack[-1]
-        inside = any(self.tag[e] in REGIONS for e in self.stack) if tag == "header" else False
+        inside = any(self.tag[e] in REGIONS for e in self.stack)
         self.parent.append(top)
         self.tag.append(tag)
         self.dropped.append(self.dropped[top] or self._named(tag, attrs, inside))
@@ -175,10 +178,16 @@ def main_text(html: str | None) -> str:
         best = max(mains, key=lambda e: (weight[e], text[e], -e))
     else:
         best = max(range(len(page.tag)), key=lambda e: (weight[e] >= NEARLY * weight[0], e)) if weight[0] else 0
-        while page.tag[best] not in ("", "html", "body") and page.tag[page.parent[best]] not in ("", "html", "body") and text[page.parent[best]] * NEARLY <= text[best]:
+        # Whatever holds little more than that belongs to it: headings, leads.
+        while best and text[page.parent[best]] * NEARLY <= text[best]:
+            best = page.parent[best]
+        while best and page.tag[best] not in ("div", "section", "td", "body", "html"):
             best = page.parent[best]
-        if page.tag[best] not in ("div", "section", "td"):
-            best = page.parent[best] if best else 0
+        if page.tag[best] in ("", "html", "body"):
+            # No element sets the text apart: it runs from the first to the last content line, with the headings before it.
+            good = np.flatnonzero(content)
+            first, last = (good[0], good[-1]) if len(good) else (0, len(kept) - 1)
+            kept = [x for n, x in enumerate(kept) if first <= n <= last or n < first and page.tag[x[2]] in ("h1", "h2", "h3")]
     inside = np.zeros(len(page.tag), bool)
     inside[best] = True
     for e in range(best + 1, len(page.tag)):
