@@ -41,7 +41,7 @@ LONG_LISTS = 500_000  # long lists that are broadcast at most: 4 MB
 SHARED_BITS = 27  # digits of the map of shingles with several owners: 16 MB, broadcast; a full map drops fewer, never more
 HEAVY = 64  # owners of a shingle in one batch beyond which they are not listed there
 FAMILY_ENTRIES = 1_000_000  # shingles of a family that one task searches
-DOCS = 2048  # documents that a worker handles at a time
+DOCS = 1024  # documents that a worker handles at a time
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
@@ -592,7 +592,7 @@ def _groups(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     small = stay.count() <= STAY_BROADCAST
     picked = texts.where("text is not null").join(F.broadcast(stay) if small else stay, "id").select("id", "text", "key")
     sets = materialise(picked.mapInArrow(_whole_sets(words), "id long, n int, shingles binary"), "sets")
-    counted = sets.select("shingles").mapInArrow(_owners(parts), "part int, h binary, at binary, count binary")
+    counted = sets.select("shingles").mapInArrow(_owners(2 * parts), "part int, h binary, at binary, count binary")
     counts = materialise(counted.groupBy("part").applyInArrow(_long_lists(short), "h long, n long, base long, bits binary"), "counts")
     most = counts.where("h is not null").orderBy(F.desc("n"), "h").limit(LONG_LISTS).select("h").toArrow()
     long = spark.sparkContext.broadcast(np.sort(most.column("h").to_numpy().view(np.uint64)))
