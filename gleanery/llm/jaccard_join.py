@@ -631,3 +631,24 @@ def _groups(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
 
 def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM words
+), sized AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS kind FROM sets GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y, u.kind <> v.kind AS other, v.kind AS kind FROM common JOIN sized u ON u.doc_id = x JOIN sized v ON v.doc_id = y WHERE 100 * c >= 75 * (u.n + v.n - c)
+), reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT y, root FROM reach JOIN links ON x = node
+)
+SELECT d.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, min(root) AS component_id,
+       (SELECT count(DISTINCT kind) FROM links WHERE x = d.doc_id AND other) AS n_links
+FROM documents d LEFT JOIN sized s USING (doc_id) JOIN reach ON node = d.doc_id GROUP BY d.doc_id
+"""

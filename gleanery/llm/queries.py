@@ -7,7 +7,7 @@ from .bpe import op2_bpe_round_trip
 from .chat import OP1_SQL, op1_preference_chat
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .html_text import op8_ratio_extraction
-from .jaccard_join import op6_shingle_join
+from .jaccard_join import OP6_SQL, op6_shingle_join
 from .mixing import OP10_SQL, op10_source_mix
 from .quality import op4_factorisation_quality
 from .sharding import op7_external_shuffle
@@ -29,5 +29,6 @@ QUERIES = {
 ORACLES = {
     "op1_preference_chat": OP1_SQL,
     "op5_exact_dedup": OP5_SQL,
+    "op6_shingle_join": OP6_SQL,
     "op10_source_mix": OP10_SQL,
 }

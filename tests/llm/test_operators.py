@@ -237,6 +237,12 @@ def test_jaccard_groups_of_near_copies(spark, options):
     assert got == brute_components(rows)
 
 
+def test_jaccard_shingles_of_very_many_sets_of_a_batch(spark):
+    rows = near_copies(random.Random(9), 1, 150)
+    got = grouped(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert got == brute_components(rows)
+
+
 def test_links_are_counted_between_distinct_sets(spark):
     base = [f"w{i}" for i in range(40)]
     rows = [(1, " ".join(base)), (2, " ".join(base)), (3, " ".join([*base, "x"])), (4, " ".join(["y", *base])), (5, "other words entirely here now")]
@@ -301,6 +307,8 @@ def test_main_text():
     assert html_text.main_text(PAGE) == "Title & more First para with bold words. Short. Caption One Two"
     loose = "<body><div id='menu'><a>a</a><a>b</a></div><div class='text'><h1>Head</h1>" + "<p>Some longer running text of an article, with several words.</p>" * 4 + "<p>End.</p></div><div class='sidebar'>links</div></body>"
     assert html_text.main_text(loose) == "Head " + "Some longer running text of an article, with several words. " * 4 + "End."
+    named = "<div class='site-header'><p>Site</p></div><div class='post-header'><h1>Head</h1></div><div class='elementor-widget'><p>Some longer running text of an article here.</p></div><ol id='readerComments'><li>Hi</ol>"
+    assert html_text.main_text(named) == "Head Some longer running text of an article here."
     for page, want in ((None, ""), ("", ""), ("plain", "plain"), ("<nav>x</nav>", ""), ("<p>a<p>b", "a b"), ("<p>x</b></i> y", "x y"), ("<article><p>un<b>closed", "unclosed"), ("<", "<")):
         assert html_text.main_text(page) == want
 
