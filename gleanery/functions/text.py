@@ -59,10 +59,16 @@ def located(text: Column, includes: list[str], excludes: list[str] = (), strict_
 
 
 def ordered_uniq(values: Column) -> Column:
-    """First of each value, compared without case; empty values go."""
-    start = F.array().cast("array<string>")
+    """First of each value, compared without case; empty values go.
+
+    Values are sorted by (lower case, position), the first of each run stays, and those go back to their order: n log n.
+    A column that is used inside a lambda is computed anew for each element, so the sorted array is bound to a variable.
+    """
     kept = F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
-    return F.aggregate(kept, start, lambda own, x: F.when(F.exists(own, lambda y: F.lower(y) == F.lower(x)), own).otherwise(F.array_append(own, x)))
+    by_value = F.sort_array(F.transform(kept, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("at"), x.alias("own"))))
+    firsts = F.transform(F.array(by_value), lambda s: F.filter(s, lambda x, i: (i == 0) | (x["low"] != F.get(s, i - 1)["low"])))
+    back = F.sort_array(F.transform(F.get(firsts, F.lit(0)), lambda x: F.struct(x["at"], x["own"])))
+    return F.transform(back, lambda x: x["own"])
 
 
 def dictionary_hits(text: Column, terms: list[str]) -> Column:

@@ -171,6 +171,12 @@ def ordered_uniq_terms(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(F.sort_array(text.ordered_uniq(words)), ",").alias("terms"))
 
 
+@query("SELECT doc_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> '')).list_sort().array_to_string(',') AS terms FROM documents")
+def ordered_uniq_whole_terms(spark, sf):
+    words = F.split(F.lower("text"), " ")
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.sort_array(text.ordered_uniq(words)), ",").alias("terms"))
+
+
 @query("SELECT conv_id, text FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id, lower(trim(role)) ORDER BY turn) AS k FROM conversations) WHERE k = 1")
 def dedup_cards(spark, sf):
     c = table(spark, sf, "conversations")
