@@ -466,6 +466,19 @@ def bfs_reachability(spark, sf):
     return ordered.reach(spark, both, spark.createDataFrame([("s1",)], "node string"), 4)
 
 
+@query(
+    """
+    WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem),
+    g AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+    r AS (SELECT 's1' AS node, 0 AS depth UNION SELECT g.dst, r.depth + 1 FROM r JOIN g ON g.src = r.node WHERE r.depth < 4)
+    SELECT node, min(depth) AS depth FROM r GROUP BY node"""
+)
+def bfs_whole_reachability(spark, sf):
+    e = table(spark, sf, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+    both = e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return ordered.reach(spark, both, spark.createDataFrame([("s1",)], "node string"), 4)
+
+
 @query("SELECT event_id, json_extract_string(props, '$.page') AS page, json_extract_string(props, '$.k') AS k FROM events")
 def event_props(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.page").alias("page"), F.get_json_object("props", "$.k").alias("k"))

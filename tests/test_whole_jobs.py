@@ -32,3 +32,18 @@ def test_terms_come_from_the_whole_text(spark, data):
     got = {r["doc_id"]: r["terms"] for r in registered.QUERIES["ordered_uniq_whole_terms"](spark, data).collect()}
     assert got == {k: ",".join(sorted(v, key=str.encode)) for k, v in want.items()}
     assert sum(map(len, want.values())) > 5 * sum(len(t.split(",")) for t in (r["terms"] for r in registered.QUERIES["ordered_uniq_terms"](spark, data).collect()))
+
+
+def test_reach_uses_every_edge(spark, data):
+    """Breadth-first search in Python over all part-supplier pairs, four steps from s1."""
+    near = {}
+    for r in spark.read.parquet(f"{data}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().collect():
+        near.setdefault(f"p{r[0]}", set()).add(f"s{r[1]}")
+        near.setdefault(f"s{r[1]}", set()).add(f"p{r[0]}")
+    want, front = {"s1": 0}, {"s1"}
+    for depth in range(1, 5):
+        front = {n for f in front for n in near[f]} - want.keys()
+        want |= dict.fromkeys(front, depth)
+    got = [(r["node"], r["depth"]) for r in registered.QUERIES["bfs_whole_reachability"](spark, data).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == want
+    assert len(got) > registered.QUERIES["bfs_reachability"](spark, data).count()
