@@ -107,6 +107,19 @@ def extract(parsed: DataFrame, tech_terms: list[str] = (), page_url: str = "url"
     return out.where(first_wins(F.col("title"), F.col("description")).isNotNull())
 
 
+def detected(parsed: DataFrame, page_url: str = "url", html: str = "html") -> DataFrame:
+    """Every page with ``seen`` (see ``scoring.detection``): from its URL, text, markup, JSON-LD and microdata.
+
+    ``parsed`` keeps the markup, as hiring systems are also named in frames and scripts. A page without markup is seen by its URL alone.
+    """
+    base = parsed.withColumn("__row", F.monotonically_increasing_id())
+    items = structured.blocks(base.select("__row", "page.ld_json"), F.col("ld_json")).where(structured.is_posting(F.col("item")))
+    rows = base.join(items.select("__row", F.lit(True).alias("__posting")).distinct(), "__row", "left")
+    micro = F.coalesce(F.size("page.job_props") > 0, F.lit(False))
+    seen = scoring.detection(F.col(page_url), F.coalesce("page.text", F.lit("")), F.coalesce(F.col(html), F.lit("")), F.coalesce("__posting", F.lit(False)), micro)
+    return rows.withColumn("seen", seen).drop("__row", "__posting")
+
+
 def deepened(stubs: DataFrame, details: DataFrame) -> DataFrame:
     """Stubs with the fields of their detail page (URL modulo trailing slash), the longer value of each."""
     right = details.select(url_key(F.col("url")).alias("__key"), *[F.col(f).alias(f"__{f}") for f in fixed.JOB_FIELDS])

@@ -59,9 +59,8 @@ def signal_score(spark, sf):
 
 @query("SELECT page_id, 0.0::DOUBLE AS confidence, false AS is_job FROM pages")
 def page_detection(spark, sf):
-    p = table(spark, sf, "pages")
-    found = scoring.detection(F.col("url"), F.lit("plain"), F.lit(""), F.lit(False), F.lit(False))
-    return p.select("page_id", found["confidence"].alias("confidence"), found["is_job"].alias("is_job"))
+    found = jobs.detected(html.parsed(table(spark, sf, "pages"), keep_html=True))
+    return found.select("page_id", "seen.confidence", "seen.is_job")
 
 
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g'), '\s+', ' ', 'g'))[:400] AS head FROM pages")
@@ -73,7 +72,7 @@ def condensed_html(spark, sf):
 def job_pages(spark, sf):
     """No fixture page is a job page: the plan must find none."""
     p = _parsed(spark, sf)
-    found = jobs.extract(p.withColumn("url", F.lit("https://x.example.com/fr/1"))).where(F.col("title").isNull())
+    found = jobs.extract(p)
     return p.agg(F.count(F.lit(1)).alias("pages")).crossJoin(found.agg(F.count(F.lit(1)).cast("int").alias("postings")))
 
 

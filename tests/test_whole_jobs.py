@@ -47,3 +47,25 @@ def test_reach_uses_every_edge(spark, data):
     got = [(r["node"], r["depth"]) for r in registered.QUERIES["bfs_whole_reachability"](spark, data).collect()]
     assert len(got) == len(dict(got)) and dict(got) == want
     assert len(got) > registered.QUERIES["bfs_reachability"](spark, data).count()
+
+
+FILLER = " words of a page" * 10
+ADVERTS = [
+    (0, "https://x.example.com/fr/1", f"<title>a</title><p>Plain{FILLER}", 0.0, False),
+    (1, "https://x.example.com/jobs/1", f"<title>a</title><p>Plain{FILLER}", 0.3, False),
+    (2, "https://x.example.com/fr/2", f"<title>Cook</title><h1>Cook</h1><p>Apply now. Responsibilities, qualifications, requirements.{FILLER}", 0.32, False),
+    (3, "https://x.example.com/fr/3", f"""<title>Cook</title><script type="application/ld+json">{{"@type": "JobPosting", "title": "Cook"}}</script><p>Text{FILLER}""", 1.0, True),
+    (4, "https://x.example.com/fr/4", f"""<div itemscope itemtype="https://schema.org/JobPosting"><h1 itemprop="title">Cook</h1>{FILLER}</div>""", 0.9, True),
+    (5, "https://x.example.com/jobs/2", f"""<h1>Cook</h1><iframe src="https://boards.greenhouse.io/embed/acme"></iframe><p>Text{FILLER}""", 0.6, True),
+    (6, "https://x.example.com/fr/5", "", 0.0, False),
+    (7, "https://x.example.com/fr/6", None, 0.0, False),
+]
+
+
+def test_detection_and_job_pages_read_the_page(spark, tmp_path):
+    spark.createDataFrame([a[:3] for a in ADVERTS], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: (r["confidence"], r["is_job"]) for r in registered.QUERIES["page_detection"](spark, str(tmp_path)).collect()}
+    assert got == {a[0]: a[3:] for a in ADVERTS}
+    # By path: 1 and 5; by signals: 2; by JSON-LD: 3. Titles and headings don't leave a record out.
+    one = registered.QUERIES["job_pages"](spark, str(tmp_path)).first()
+    assert (one["pages"], one["postings"]) == (8, 4)
