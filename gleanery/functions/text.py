@@ -136,10 +136,10 @@ def strip_tags(html: Column) -> Column:
     return clean(text)
 
 
-def condensed(html: Column, limit: int) -> Column:
-    """Markup without scripts, styles and drawings, collapsed and cut with a marker."""
+def condensed(html: Column, limit: int | None = None) -> Column:
+    """Markup without scripts, styles and drawings, collapsed; whole, or cut with a marker."""
     bare = clean(F.regexp_replace(html, r"(?is)<(script|style|noscript|iframe|svg)\b.*?</\1\s*>", ""))
-    return F.when(F.length(bare) > limit, F.concat(F.left(bare, F.lit(limit)), F.lit(" …"))).otherwise(bare)
+    return bare if limit is None else F.when(F.length(bare) > limit, F.concat(F.left(bare, F.lit(limit)), F.lit(" …"))).otherwise(bare)
 
 
 def labelled_value(text: Column, label: str, value: str) -> Column:

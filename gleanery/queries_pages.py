@@ -68,6 +68,16 @@ def condensed_html(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.left(text.condensed(F.col("html"), 1 << 30), F.lit(400)).alias("head"))
 
 
+_BARE = "html"
+for _tag in ("script", "style", "noscript", "iframe", "svg"):
+    _BARE = rf"regexp_replace({_BARE}, '(?is)<{_tag}\b.*?</{_tag}\s*>', '', 'g')"
+
+
+@query(rf"SELECT page_id, trim(regexp_replace(coalesce({_BARE}, ''), '\s+', ' ', 'g')) AS markup FROM pages")
+def condensed_whole_html(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.condensed(F.col("html")).alias("markup"))
+
+
 @query("SELECT count(*) AS pages, 0 AS postings FROM pages")
 def job_pages(spark, sf):
     """No fixture page is a job page: the plan must find none."""

@@ -69,3 +69,17 @@ def test_detection_and_job_pages_read_the_page(spark, tmp_path):
     # By path: 1 and 5; by signals: 2; by JSON-LD: 3. Titles and headings don't leave a record out.
     one = registered.QUERIES["job_pages"](spark, str(tmp_path)).first()
     assert (one["pages"], one["postings"]) == (8, 4)
+
+
+def test_condensed_markup_is_whole(spark, data, tmp_path):
+    import re
+
+    bare = "<p>" + "word " * 200 + "</p><b>end</b>"
+    page = "<svg><path/></svg><noscript>n</noscript>" + bare + "<IFRAME src='x'>i</IFRAME ><style>s</style>\n\n<script>if (a < b) {}</script>"
+    spark.createDataFrame([(1, page), (2, ""), (3, None)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["markup"] for r in registered.QUERIES["condensed_whole_html"](spark, str(tmp_path)).collect()}
+    assert got == {1: bare, 2: "", 3: ""}
+    raw = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    got = {r["page_id"]: r["markup"] for r in registered.QUERIES["condensed_whole_html"](spark, data).collect()}
+    assert got == {k: " ".join(re.sub(r"(?is)<(script|style|noscript|iframe|svg)\b.*?</\1\s*>", "", v).split()) for k, v in raw.items()}
+    assert min(map(len, got.values())) > 400
