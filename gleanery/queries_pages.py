@@ -48,6 +48,13 @@ def repeated_groups(spark, sf):
     return groups.select("page_id", "g.links", "g.lengths").where(score > 0.3).select("page_id", F.size("links").cast("long").alias("members"))
 
 
+@query()
+def repeated_groups_whole(spark, sf):
+    groups = _parsed(spark, sf).select("page_id", F.posexplode("page.groups").alias("position", "g"))
+    groups = groups.select("page_id", "position", "g.shape", "g.links", "g.lengths").withColumn("score", ordered.group_score("links", "lengths"))
+    return groups.where(F.col("score") > 0.3).select("page_id", "position", "shape", F.size("links").cast("long").alias("members"), "score")
+
+
 @query(
     "WITH t AS (SELECT page_id, lower(html) AS h, url FROM pages) SELECT page_id, "
     + " + ".join(f"contains(h, '{s}')::INT" for s in ("the", "thtion", "von", "heand"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import gleanery.queries as registered
 from gleanery.functions import text
+from gleanery.sources import html
 
 
 def brute_uniq(values):
@@ -83,3 +84,30 @@ def test_condensed_markup_is_whole(spark, data, tmp_path):
     got = {r["page_id"]: r["markup"] for r in registered.QUERIES["condensed_whole_html"](spark, data).collect()}
     assert got == {k: " ".join(re.sub(r"(?is)<(script|style|noscript|iframe|svg)\b.*?</\1\s*>", "", v).split()) for k, v in raw.items()}
     assert min(map(len, got.values())) > 400
+
+
+def brute_score(links, lengths):
+    links, lengths = links[:10], lengths[:10]
+    n, mean = len(lengths), sum(lengths) / len(lengths)
+    spread = (sum((x - mean) ** 2 for x in lengths) / n) ** 0.5 / mean if mean else None
+    even = 0.0 if spread is None else 0.2 if spread < 0.5 else 0.1 if spread < 1 else 0.0
+    return min(1.0, sum(links) / n * 0.3 + even + (0.15 if 20 < mean < 500 else 0.0))
+
+
+def test_groups_of_every_shape(spark, data, tmp_path):
+    cards = "<div>" + "".join(f"<div><h3>Card {i}</h3><p>Some words about number {i}.</p></div>" for i in range(4)) + "</div>"
+    table = "<table><tbody>" + "".join(f"<tr><td>Some cell of row {i}</td><td>and one more</td></tr>" for i in range(12)) + "</tbody></table>"
+    lists = "".join("<ul>" + "".join(f"<li><a href='/{k}{i}'>Link {i}</a></li>" for i in range(3)) + "</ul>" for k in "ab")
+    pages = [(1, "u", cards), (2, "u", table), (3, "u", lists), (4, "u", "<div><p>a</p><p>b</p></div>"), (5, "u", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((r["page_id"], r["shape"], r["members"]) for r in registered.QUERIES["repeated_groups_whole"](spark, str(tmp_path)).collect())
+    assert got == [(1, "div|h3,p|0", 4), (2, "tr|td,td|0", 12), (3, "li|a|1", 3), (3, "li|a|1", 3)]
+
+    want = {}
+    for r in spark.read.parquet(f"{data}/pages.parquet").collect():
+        for at, g in enumerate(html.parse(r["html"], r["url"])["groups"]):
+            if (score := brute_score(g["links"], g["lengths"])) > 0.3:
+                want[r["page_id"], at] = (g["shape"], len(g["lengths"]), round(score, 9))
+    rows = registered.QUERIES["repeated_groups_whole"](spark, data).collect()
+    assert {(r["page_id"], r["position"]): (r["shape"], r["members"], round(r["score"], 9)) for r in rows} == want and len(rows) == len(want)
+    assert len({s for s, _, _ in want.values()}) > 1
