@@ -1,10 +1,12 @@
 """Main text of web pages: streaming parser events, text-to-tag ratios, Gaussian smoothing, clustering.
 
-Parser events are folded into lines (blocks of text between block-level tags), each with its ratio of text to tags and the element
-it lies in. Ratios are smoothed with a Gaussian over neighbouring lines; lines above a threshold relative to
-their spread are content. The content region is the article or main element with most content text or, without
-such, the smallest element that holds nearly all content. All lines of the region stay, in page order, apart from
-those in elements that are boilerplate by tag, role or name.
+Parser events are folded into lines (blocks of text between block-level tags), each with its ratio of text outside links to tags and
+the element it lies in. Ratios are smoothed with a Gaussian over neighbouring lines; lines above a threshold relative to
+their spread are content, and runs of them are clusters. Every article and main element that holds a cluster is a content region. If
+those hold less than nearly all content, the smallest element that does is one as well. A main element around articles
+gives, besides them, its own lines from the first to the last content line. Lines of regions stay, in page order, short ones between
+clusters included, apart from those that are mostly link text with a ratio below the threshold and those in elements that are
+boilerplate by tag, role or name.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ CLOSES_P = set("address article aside blockquote div dl fieldset figure footer f
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-SIGMA, SPREAD, NEARLY = 1.5, 0.5, 0.8
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+SIGMA, SPREAD, NEARLY, LINKED = 1.5, 0.5, 0.8, 0.5
 
 
 class Lines(HTMLParser):
@@ -44,19 +47,21 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.parent, self.tag, self.dropped = [-1], [""], [False]
+        self.parent, self.tag, self.dropped, self.link = [-1], [""], [False], [False]
         self.stack = [0]
-        self.lines: list[tuple[str, int, int, bool]] = []  # text, tags, element, dropped
+        self.lines: list[tuple[str, int, int, bool, int]] = []  # text, tags, element, dropped, characters in links
         self.bits: list[str] = []
         self.tags = 0
+        self.linked = 0
         self.where = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.bits).split())
         if text:
-            self.lines.append((text, self.tags, self.where, self.dropped[self.where]))
+            self.lines.append((text, self.tags, self.where, self.dropped[self.where], min(self.linked, len(text))))
             self.tags = 0
         self.bits = []
+        self.linked = 0
 
     def _named(self, tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
         if tag in DROPPED:
@@ -92,11 +97,16 @@ class Lines(HTMLParser):
                 self._close({"p"}, {"article", "aside", "body", "button", "div", "section", "td", "th", "main"})
             if tag in IMPLIED:
                 self._close(*IMPLIED[tag])
+        elif tag == "a" and self.link[self.stack[-1]]:
+            # A link ends the one it begins in.
+            self.handle_endtag("a")
+            self.tags -= 1
         top = self.stack[-1]
         inside = any(self.tag[e] in REGIONS for e in self.stack)
         self.parent.append(top)
         self.tag.append(tag)
         self.dropped.append(self.dropped[top] or self._named(tag, attrs, inside))
+        self.link.append(self.link[top] or tag == "a" and any(k == "href" for k, _ in attrs))
         self._enter(len(self.tag) - 1)
 
     def _enter(self, element: int) -> None:
@@ -141,6 +151,8 @@ class Lines(HTMLParser):
         if not self.bits:
             self.where = self.stack[-1]
         self.bits.append(data)
+        if self.link[self.stack[-1]]:
+            self.linked += len(" ".join(data.split()))
 
 
 def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -162,37 +174,61 @@ def main_text(html: str | None) -> str:
     if not kept:
         return ""
     sizes = np.array([len(x[0]) for x in kept], float)
-    smooth = smoothed(sizes / np.maximum(1, [x[1] for x in kept]))
-    content = smooth >= SPREAD * smooth.std()
+    prose = sizes - [x[4] for x in kept]
+    ratio = prose / np.maximum(1, [x[1] for x in kept])
+    smooth = smoothed(ratio)
+    level = SPREAD * smooth.std()
+    content = smooth >= level
     # Content text of every element, children before parents.
     weight, text = np.zeros(len(page.tag)), np.zeros(len(page.tag))
-    for (_, _, where, _), n, good in zip(kept, sizes, content, strict=True):
-        weight[where] += n * good
+    for (_, _, where, *_), n, m, good in zip(kept, sizes, prose, content, strict=True):
+        weight[where] += m * good
         text[where] += n
     for e in range(len(page.tag) - 1, 0, -1):
         weight[page.parent[e]] += weight[e]
         text[page.parent[e]] += text[e]
-    regions = [e for e in range(len(page.tag)) if page.tag[e] in REGIONS and text[e] and not page.dropped[e]]
-    if regions:
-        mains = [e for e in regions if page.tag[e] == "article"] or regions
-        best = max(mains, key=lambda e: (weight[e], text[e], -e))
-    else:
+    # The outermost article, the innermost main element and the nearest heading around each element.
+    article, main, heading = [0], [0], [False]
+    for e in range(1, len(page.tag)):
+        up, tag = page.parent[e], page.tag[e]
+        article.append(article[up] or (e if tag == "article" else 0))
+        main.append(e if tag == "main" else main[up])
+        heading.append(heading[up] or tag in HEADINGS)
+    around = {main[e] for e in set(article) if e and text[e]}
+    stay = np.zeros(len(kept), bool)
+    own: dict[int, list[int]] = {}
+    for n, (_, _, where, *_) in enumerate(kept):
+        region = article[where] or main[where]
+        if region and (article[where] or main[where] not in around):
+            stay[n] = weight[region] > 0
+        elif region:
+            own.setdefault(region, []).append(n)
+    for at in own.values():
+        stay[_span(at, content, heading, kept)] = True
+    if prose[stay & content].sum() < NEARLY * weight[0] or not stay.any():
         best = max(range(len(page.tag)), key=lambda e: (weight[e] >= NEARLY * weight[0], e)) if weight[0] else 0
         # Whatever holds little more than that belongs to it: headings, leads.
         while best and text[page.parent[best]] * NEARLY <= text[best]:
             best = page.parent[best]
-        while best and page.tag[best] not in ("div", "section", "td", "body", "html"):
+        while best and page.tag[best] not in ("div", "section", "td", "article", "main", "body", "html"):
             best = page.parent[best]
-        if page.tag[best] in ("", "html", "body"):
-            # No element sets the text apart: it runs from the first to the last content line, with the headings before it.
-            good = np.flatnonzero(content)
-            first, last = (good[0], good[-1]) if len(good) else (0, len(kept) - 1)
-            kept = [x for n, x in enumerate(kept) if first <= n <= last or n < first and page.tag[x[2]] in ("h1", "h2", "h3")]
-    inside = np.zeros(len(page.tag), bool)
-    inside[best] = True
-    for e in range(best + 1, len(page.tag)):
-        inside[e] = inside[page.parent[e]]
-    return " ".join(x[0] for x in kept if inside[x[2]])
+        inside = np.zeros(len(page.tag), bool)
+        inside[best] = True
+        for e in range(best + 1, len(page.tag)):
+            inside[e] = inside[page.parent[e]]
+        # Where no element sets the text apart, it runs from the first to the last content line, with the headings before it.
+        at = _span(range(len(kept)), content, heading, kept) if page.tag[best] in ("", "html", "body") else range(len(kept))
+        stay[[n for n in at if inside[kept[n][2]]]] = True
+    for n, (_, _, where, _, linked) in enumerate(kept):
+        if linked > LINKED * sizes[n] and ratio[n] < level and not heading[where]:
+            stay[n] = False
+    return " ".join(x[0] for x, good in zip(kept, stay, strict=True) if good)
+
+
+def _span(at, content: np.ndarray, heading: list[bool], kept: list) -> list[int]:
+    """Of some lines those from the first to the last content line and the headings before; all without content."""
+    good = [n for n in at if content[n]]
+    return [n for n in at if good[0] <= n <= good[-1] or n < good[0] and heading[kept[n][2]]] if good else list(at)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
