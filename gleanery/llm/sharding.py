@@ -15,8 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import materialise
+from .common import materialise, scratch
 
 SHARDS = 16
 BUCKET_BYTES = 16 << 20
@@ -67,18 +68,42 @@ def _cut(spark: SparkSession, buckets: DataFrame, mixed: DataFrame, shards: int)
     return mixed.join(starts, "bucket").select("record", "size", shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
+def _folder(records: list[str]) -> str:
+    """Name of the folders' column: ``shard``, with underscores behind it if records have such a column."""
+    name = "shard"
+    while name in {c.lower() for c in records}:
+        name += "_"
+    return name
+
+
 def write_shards(shuffled: DataFrame, path: str) -> None:
-    """Write each shard's records in slot order below ``path/shard=K``."""
-    shuffled.select("record.*", "shard", F.col("slot").alias("__slot")).repartition("shard").sortWithinPartitions("shard", "__slot").drop("__slot").write.partitionBy("shard").parquet(path)
+    """Write each shard's records in slot order below ``path/shard=K`` (see ``_folder``)."""
+    records = shuffled.schema["record"].dataType.names
+    folder = _folder(records)
+    placed = shuffled.repartition("shard").sortWithinPartitions("shard", "slot")
+    placed.select(*[F.col("record")[c].alias(c) for c in records], F.col("shard").alias(folder)).write.partitionBy(folder).option("compression", "zstd").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, records: StructType) -> DataFrame:
+    """``record``, ``shard`` and ``slot`` of what ``write_shards`` wrote: a shard's files follow each other by name, and slots count their rows."""
+    folder = _folder(records.names)
+    rows = spark.read.schema(StructType([*records.fields, StructField(folder, IntegerType())])).parquet(path)
+    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in records.names]).alias("record"), F.col(folder).alias("shard"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    before = W.partitionBy("shard").orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    files = rows.groupBy("shard", "file").agg(F.count(F.lit(1)).alias("n")).select("shard", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    # A row per file.
+    return rows.join(F.broadcast(files), ["shard", "file"]).select("record", "shard", (F.col("start") + F.col("at")).alias("slot"))
 
 
 def op7_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done = external_shuffle(docs)
-    return done.select(
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = scratch(spark, "op7")
+    write_shards(external_shuffle(docs), path)
+    text = F.col("record.text")
+    return read_shards(spark, path, docs.schema).select(
         F.col("record.doc_id").alias("doc_id"),
-        "size",
-        F.crc32(F.coalesce(F.col("record.text").cast("binary"), F.lit(b""))).alias("text_crc32"),
+        (F.coalesce(F.octet_length(text.cast("string")), F.lit(0)).cast("long") + 1).alias("size"),
+        F.crc32(F.coalesce(text.cast("binary"), F.lit(b""))).alias("text_crc32"),
         F.lit("rows").alias("law"),
         "shard",
         "slot",
