@@ -6,7 +6,7 @@
    t/(2k+1). Rounding t/B already is a Sainte-Laguë allocation for the house it happens to sum to; the few
    seats between that house and the wanted one are won or lost by quotient, so a number of candidates
    proportional to the number of sources is ranked, however many blocks there are. Seats are dealt to
-   shards in turn, which gives each (source, shard) an integer quota.
+   shards in turn, which gives each (source, shard) an integer quota (``mix_shards``; ``mix`` leaves shards out).
 3. A source's documents, in seeded order, are one stream of words cut into blocks. A quota of more words
    than the stream takes whole passes first, then blocks chosen by seeded rank. A document's part of the
    chosen blocks follows from prefix sums over blocks and over documents. The prefix sum over documents
@@ -88,24 +88,8 @@ def shard_quotas(plan: DataFrame, shards: int = SHARDS) -> DataFrame:
     return one.select("skey", "shard", F.greatest(F.lit(0), F.ceil((F.col("seats") - gap) / shards)).cast("long").alias("quota"))
 
 
-def mix(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    seed: int = 42,
-    weights: tuple[int, ...] = (5, 2, 1),
-    max_epochs: int = 3,
-    blocks_per_source: int = BLOCKS_PER_SOURCE,
-) -> DataFrame:
-    """How many words of each document the mix takes.
-
-    Returns ``doc_id, size, source_size, target, taken``, one row per input row. Null or empty texts have
-    size 0 and nothing is taken of them; a null source is a source of its own, ordered last. Ties of the
-    seeded order (repeated ids) are broken by size, so repeated rows give the same rows in any run. A
-    table without words gives targets of 0. Extra columns are ignored. ``taken`` never exceeds
-    ``max_epochs`` times ``size``.
-    """
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, weights: tuple[int, ...], max_epochs: int, blocks_per_source: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their words' places ``a`` to ``b`` in their source's stream, the plan of sources, and blocks with seeded rank and picks."""
     size = F.regexp_count(text_or_empty(text_col), F.lit(WORD_PATTERN)).cast("long")
     source = F.col(source_col).cast("string")
     rows = materialise(
@@ -128,7 +112,7 @@ def mix(
     chance = F.md5(F.concat(F.lit(f"block:{seed}:"), F.col("skey"), F.lit(":"), F.col("at").cast("string")))
     blocks = blocks.withColumn("nth", F.row_number().over(W.partitionBy("skey").orderBy(chance, "at"))).withColumn("picked", (F.col("nth") <= F.col("picks")).cast("long"))
     before = W.partitionBy("skey").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    blocks = materialise(blocks.select("skey", "at", "picked", F.coalesce(F.sum("picked").over(before), F.lit(0)).alias("picked_before")), "blocks")
+    blocks = materialise(blocks.select("skey", "at", "nth", "picked", F.coalesce(F.sum("picked").over(before), F.lit(0)).alias("picked_before")), "blocks")
 
     # Where each document starts in its source's seeded stream of words.
     rows = rows.withColumn("order", F.md5(F.concat(F.lit(f"doc:{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))).withColumn("sub", F.substring("order", 1, digits))
@@ -139,6 +123,28 @@ def mix(
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(subs, ["skey", "sub"])
     rows = rows.join(plan.select("skey", "source_size", "target", "block", "epochs"), "skey")
     rows = rows.withColumn("a", F.col("offset") + F.col("inside")).withColumn("b", F.col("a") + F.col("size"))
+    return rows, plan, blocks
+
+
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    seed: int = 42,
+    weights: tuple[int, ...] = (5, 2, 1),
+    max_epochs: int = 3,
+    blocks_per_source: int = BLOCKS_PER_SOURCE,
+) -> DataFrame:
+    """How many words of each document the mix takes.
+
+    Returns ``doc_id, size, source_size, target, taken``, one row per input row. Null or empty texts have
+    size 0 and nothing is taken of them; a null source is a source of its own, ordered last. Ties of the
+    seeded order (repeated ids) are broken by size, so repeated rows give the same rows in any run. A
+    table without words gives targets of 0. Extra columns are ignored. ``taken`` never exceeds
+    ``max_epochs`` times ``size``.
+    """
+    rows, _, blocks = _placed(docs, id_col, text_col, source_col, seed, weights, max_epochs, blocks_per_source)
 
     def picked_until(x: str, tag: str):
         at = F.expr(f"{x} div block")
@@ -157,10 +163,46 @@ def mix(
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
 
 
+def mix_shards(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    seed: int = 42,
+    weights: tuple[int, ...] = (5, 2, 1),
+    max_epochs: int = 3,
+    blocks_per_source: int = BLOCKS_PER_SOURCE,
+    shards: int = SHARDS,
+) -> DataFrame:
+    """How many words of each document the mix takes into each shard.
+
+    Returns ``doc_id, size, source_size, target, shard, taken``: a row per input row and shard that takes words of it. Over shards ``taken``
+    sums to that of ``mix``. The blocks that a source gives, those of whole passes included, have quotas per shard (``shard_quotas``);
+    they are dealt to shards in turn by pass and seeded rank, which fills every quota.
+    """
+    rows, plan, blocks = _placed(docs, id_col, text_col, source_col, seed, weights, max_epochs, blocks_per_source)
+    size = plan.where("source_size > 0").withColumn("blocks", F.expr("(source_size - 1) div block + 1"))
+    seats = size.withColumn("seats", F.col("epochs") * F.col("blocks") + F.least("picks", "blocks"))
+    first = F.coalesce(F.sum("seats").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    dealt = blocks.join(F.broadcast(seats.select("skey", "epochs", "blocks", first.alias("first"))), "skey")  # a row per source
+    times = F.col("epochs") + F.col("picked")
+    passes = F.transform(F.sequence(F.lit(0).cast("long"), times - 1), lambda p: F.pmod(F.col("first") + p * F.col("blocks") + F.col("nth") - 1, F.lit(shards)).cast("int"))
+    dealt = dealt.where(times > 0).select("skey", "at", passes.alias("into"))
+    parts = rows.where("size > 0").withColumn("at", F.explode(F.sequence(F.expr("a div block"), F.expr("(b - 1) div block")))).join(dealt, ["skey", "at"])
+    words = F.least(F.col("b"), (F.col("at") + 1) * F.col("block")) - F.greatest(F.col("a"), F.col("at") * F.col("block"))
+    parts = parts.withColumn("words", words).withColumn("shard", F.explode("into"))
+    # A row's place in its source's stream tells it from others of the same id.
+    return parts.groupBy("skey", "a", "doc_id", "size", "source_size", "target", "shard").agg(F.sum("words").cast("long").alias("taken")).drop("skey", "a")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op10_source_mix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 OP10_SQL = r"""
 WITH sized AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,

@@ -8,7 +8,7 @@ from .chat import OP1_SQL, op1_preference_chat
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .html_text import op8_ratio_extraction
 from .jaccard_join import OP6_SQL, op6_shingle_join
-from .mixing import OP10_SQL, op10_source_mix
+from .mixing import OP10_SQL, op10_source_mix, op10_source_mix_shards
 from .quality import op4_factorisation_quality
 from .sharding import op7_external_shuffle
 from .toxicity import op3_subsequence_toxicity
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_ratio_extraction": op8_ratio_extraction,
     "op9_anisotropic_search": op9_anisotropic_search,
     "op10_source_mix": op10_source_mix,
+    "op10_source_mix_shards": op10_source_mix_shards,
 }
 
 ORACLES = {
