@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
 import uuid
@@ -29,29 +30,86 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths in the shared folder that are still there, each with the JVM and the settings that reach it.
+_SCRATCH: dict[str, tuple] = {}
+
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder. It is deleted when the driver's Python ends, or before by ``forget``."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH[path] = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    return path
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting of the session for the jobs that run inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, gives sizes."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, gives sizes.
+
+    What the write shuffled is deleted when it is done.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with setting(spark, CLEAN_SHUFFLES, "true"):
+        df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.gleanery_path = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for tables that nothing reads any more."""
+    for df in tables:
+        _delete(df.gleanery_path)
+
+
+def _delete(path: str) -> None:
+    if path in _SCRATCH:
+        jvm, settings = _SCRATCH.pop(path)
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(settings).delete(target, True)
+
+
+@atexit.register
+def _delete_rest() -> None:
+    for path in list(_SCRATCH):
+        try:
+            _delete(path)
+        except Exception:  # the JVM, and with it the way to the shared folder, is gone
+            return
 
 
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Arrow batches of at most so many rows for the jobs that run inside: wide rows then need less memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows if int(before) <= 0 else min(rows, int(before))))
-    try:
+    before = int(spark.conf.get(key))
+    with setting(spark, key, str(rows if before <= 0 else min(rows, before))):
         yield
-    finally:
-        spark.conf.set(key, before)
+
+
+#: Bytes of text that one group of a packed shuffle stands for at most.
+PART_BYTES = 64 << 20
+
+
+def parts_for(docs: DataFrame, text_col: str) -> int:
+    """Groups of a packed shuffle: as many as shuffle partitions, and more where the texts need more."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-size // PART_BYTES))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

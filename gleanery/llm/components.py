@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import forget, materialise
 
 
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -21,11 +21,12 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # Large star: neighbours above a node move to the node's smallest neighbour.
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).unionAll(least.where("m < u").select(F.col("u").alias("hi"), F.col("m").alias("lo"))).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).unionAll(least.where("m < u").select(F.col("u").alias("hi"), F.col("m").alias("lo"))).distinct()
         # Small star: a node and its smaller neighbours move to the smallest of them.
-        down = e.groupBy("hi").agg(F.min("lo").alias("m"))
-        moved = e.join(down, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        e = materialise(moved.unionAll(down.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        moved = large.join(down, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        last, e = e, materialise(moved.unionAll(down.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        forget(last)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -259,7 +259,7 @@ def test_divide_skip_equals_counting():
         query, need = np.flatnonzero(rng.random(n) < 0.5), int(rng.integers(1, 15))
         if not len(query):
             continue
-        found, count = jaccard_join.divide_skip(query, np.concatenate(own), starts, owners, need)
+        found, count = jaccard_join.divide_skip(query, np.concatenate(own), starts, need)
         want = np.bincount(np.concatenate([own[i] for i in query]), minlength=owners)
         assert found.tolist() == np.flatnonzero(want >= need).tolist() and count.tolist() == want[want >= need].tolist()
 
