@@ -71,9 +71,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """Write ``df`` to the shared folder as a table bucketed by a column, as the rows lie, and read it back: grouping by that column doesn't shuffle it."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    table = "gleanery_" + path.rsplit("/", 1)[1].replace("-", "_")
+    with setting(spark, CLEAN_SHUFFLES, "true"):
+        df.write.bucketBy(buckets, column).format("parquet").option("path", path).saveAsTable(table)
+    back = spark.table(table)
+    back.gleanery_path, back.gleanery_table = path, table
+    return back
+
+
 def forget(*tables: DataFrame) -> None:
-    """Delete what ``materialise`` wrote for tables that nothing reads any more."""
+    """Delete what ``materialise`` or ``bucketed`` wrote for tables that nothing reads any more."""
     for df in tables:
+        if hasattr(df, "gleanery_table"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.gleanery_table}")
         _delete(df.gleanery_path)
 
 
@@ -103,7 +117,7 @@ def arrow_rows(spark: SparkSession, rows: int):
 
 
 #: Bytes of text that one group of a packed shuffle stands for at most.
-PART_BYTES = 64 << 20
+PART_BYTES = 32 << 20
 
 
 def parts_for(docs: DataFrame, text_col: str) -> int:

@@ -7,8 +7,9 @@ in the first n - ceil(t n) + 1. The steps:
 1. Each document's set is hashed; equal sets count as one from here on, named by their digest. Prefixes in hash order are dealt
    out by shingle. A set stays only if some prefix shingle has another owner of fitting size, with enough shingles
    behind it in both sets to reach T.
-2. Sets that stay are written in blocks. Owners of every shingle are counted over all blocks, and each block gets back a mark for each of
-   its shingles: one owner, some, or more than ``short`` (a long list). Nothing of this is broadcast, so any number of lists may be long.
+2. Sets that stay are written in blocks, bucketed by runs of blocks. Owners of every shingle are counted over all blocks, and each block
+   gets back a mark for each of its shingles: one owner, some, or more than ``short`` (a long list). Nothing of this is broadcast, so
+   any number of lists may be long, and only the counts and marks are shuffled, not the sets.
 3. Sets are ordered anew, long lists last, which is DivideSkip's division: short lists are merged, long
    ones only probed. Owners of each short list are paired with the larger sets among them, and a query's sorted partner
    lists are heap-merged with their counts. A pair survives if its count, and all that could follow the prefixes,
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, forget, materialise, parts_for
+from .common import arrow_rows, bucketed, forget, materialise, parts_for
 from .components import connected
 
 SHORT = 32  # owners of a list that is merged; longer lists are probed
@@ -45,8 +46,9 @@ FAMILY_ENTRIES = 1_000_000  # shingles of a family that one task searches
 BALL = 32  # members of a family from which a pivot is looked for
 DOCS = 1024  # documents that a worker handles at a time
 BLOCK_ENTRIES = 1 << 18  # shingles of a block of sets, unless one set has more
-BLOCKS = 16  # blocks of sets that a worker is handed at a time
-BLOCK_BITS, SET_BITS = 20, 11  # a set's name: task, block of the task, place in the block
+RUN_BITS = 3  # blocks of a run, that is of a group when marks come back: 8 of 2 MB
+BLOCKS = 4  # blocks of sets that a worker is handed at a time
+BLOCK_BITS, SET_BITS = 24, 11  # a set's name: task, block of the task, place in the block
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
@@ -277,7 +279,7 @@ def _shared_sets(percent: int) -> Callable:
     return run
 
 
-SETS = "block long, ids array<long>, keys array<binary>, n array<int>, shingles binary"
+SETS = "run long, block long, ids array<long>, keys array<binary>, n array<int>, shingles binary"
 
 
 class _Block:
@@ -301,10 +303,10 @@ class _Block:
         if not self.rows[0]:
             return None
         ids, keys, n, sets = self.rows
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary())
-        row = [pa.array([v], k) for v, k in zip((self.number, ids, keys, n, b"".join(sets)), kinds, strict=True)]
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary())
+        row = [pa.array([v], k) for v, k in zip((self.number >> RUN_BITS, self.number, ids, keys, n, b"".join(sets)), kinds, strict=True)]
         self.number, self.rows, self.entries = self.number + 1, ([], [], [], []), 0
-        return pa.RecordBatch.from_arrays(row, ["block", "ids", "keys", "n", "shingles"])
+        return pa.RecordBatch.from_arrays(row, ["run", "block", "ids", "keys", "n", "shingles"])
 
 
 def _whole_sets(words: int) -> Callable:
@@ -362,50 +364,63 @@ def _shingles(row) -> tuple[np.ndarray, np.ndarray]:
     return whole, lead
 
 
+def _packed(lead: np.ndarray) -> bytes:
+    """Ascending numbers of ``_COUNTED`` bytes as compressed byte planes of their steps."""
+    steps = np.diff(lead, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :_COUNTED]
+    return pa.compress(np.ascontiguousarray(steps.T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :_COUNTED] = np.frombuffer(pa.decompress(raw, n * _COUNTED, "zstd", asbytes=True), np.uint8).reshape(_COUNTED, n).T
+    return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+OWNERS = "part int, run long, block long, n int, h binary, at binary, count binary"
+
+
 def _owners(parts: int) -> Callable:
     """The shingles of each block, with the number of owners in it, by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for of, block, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 _, lead = _shingles(raw.as_buffer())
                 start = np.flatnonzero(_new(lead))
                 count = np.diff(np.concatenate([start, [len(lead)]]))
                 lead = lead[start]
                 more = np.flatnonzero(count > 1)  # counts of one aren't written out
-                packed = np.ascontiguousarray(lead).view(np.uint8).reshape(-1, 8)[:, :_COUNTED]
                 rows = []
                 for p, x in _slices(lead << np.uint64(64 - 8 * _COUNTED), parts):
                     own = more[np.searchsorted(more, x.start) : np.searchsorted(more, x.stop)]
-                    rows.append((p, block, packed[x].tobytes(), (own - x.start).astype(np.uint32).tobytes(), count[own].astype(np.uint32).tobytes()))
-                if rows:
-                    cells = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int32()), pa.array(cells[1], pa.int64()), *[pa.array(c, pa.binary()) for c in cells[2:]]], ["part", "block", "h", "at", "count"])
+                    rows.append((p, of, block, x.stop - x.start, _packed(lead[x]), (own - x.start).astype(np.uint32).tobytes(), count[own].astype(np.uint32).tobytes()))
+                cells = list(zip(*rows, strict=True))
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["part", "run", "block", "n", "h", "at", "count"])
 
     return run
 
 
+MARKS = "run long, block long, part int, several binary, long binary"
+
+
 def _marks(short: int) -> Callable:
     """For each block's shingles of a part, in order: has it several owners, has it more than ``short``."""
 
     def run(group: pa.Table) -> pa.Table:
-        hashes, counts = [], []
-        for raw, at, count in zip(*(group.column(c).to_pylist() for c in ("h", "at", "count")), strict=True):
-            wide = np.zeros((len(raw) // _COUNTED, 8), np.uint8)
-            wide[:, :_COUNTED] = np.frombuffer(raw, np.uint8).reshape(-1, _COUNTED)
-            c = np.ones(len(wide), np.int64)
-            c[np.frombuffer(at, np.uint32)] = np.frombuffer(count, np.uint32)
-            hashes.append(wide.view(np.uint64).ravel())
-            counts.append(c)
-        ends = np.cumsum([len(h) for h in hashes])
-        h = np.concatenate(hashes)
+        size = group.column("n").to_numpy().astype(np.int64)
+        ends = np.cumsum(size)
+        h, counts = np.empty(int(ends[-1]), np.uint64), np.ones(int(ends[-1]), np.uint32)
+        for raw, at, count, a, b in zip(*(group.column(c) for c in ("h", "at", "count")), ends - size, ends, strict=True):
+            h[a:b] = _unpacked(raw.as_py(), b - a)
+            counts[a:b][np.frombuffer(at.as_py(), np.uint32)] = np.frombuffer(count.as_py(), np.uint32)
         order = np.argsort(h, kind="stable")
         start = np.flatnonzero(_new(h[order]))
-        total = np.add.reduceat(np.concatenate(counts)[order], start) if len(start) else start
-        owners = np.empty(len(h), np.int64)
-        owners[order] = np.repeat(total, np.diff(np.concatenate([start, [len(h)]])))
-        bits = [[np.packbits(owners[a:b] > least).tobytes() for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)] for least in (1, short)]
-        return pa.table({"block": group.column("block"), "part": group.column("part"), "several": pa.array(bits[0], pa.binary()), "long": pa.array(bits[1], pa.binary())})
+        total = np.add.reduceat(counts[order], start, dtype=np.int64)
+        owners = np.empty(len(h), np.uint32)
+        owners[order] = np.repeat(np.minimum(total, 1 << 31), np.diff(np.concatenate([start, [len(h)]])))
+        bits = [[np.packbits(owners[a:b] > least).tobytes() for a, b in zip(ends - size, ends, strict=True)] for least in (1, short)]
+        return pa.table({**{c: group.column(c) for c in ("run", "block", "part")}, "several": pa.array(bits[0], pa.binary()), "long": pa.array(bits[1], pa.binary())})
 
     return run
 
@@ -413,25 +428,23 @@ def _marks(short: int) -> Callable:
 SECOND = "part int, h binary, name binary, n binary, rest binary, long binary, star_a binary, star_b binary"
 
 
-def _second_prefixes(percent: int, parts: int) -> Callable:
-    """Prefix entries of a block under the second order, by part: shingle, set, its size, what may follow the listed part, if long.
+def _second_prefixes(percent: int, parts: int, marked: int) -> Callable:
+    """Prefix entries of a run of blocks under the second order, by part: shingle, set, its size, what may follow the listed part, if long.
 
     Of a block's dense sets in a long list one is listed; it is tied to the others right here.
     """
 
-    def run(key: tuple, block: pa.Table, marks: pa.Table) -> pa.Table:
-        n = block.column("n").combine_chunks().flatten().to_numpy().astype(np.int64)
-        whole, lead = _shingles(block.column("shingles").combine_chunks()[0].as_buffer())
+    def listed_of(block: int, n: np.ndarray, shingles: pa.Buffer, marks: pa.Table) -> list[tuple]:
+        whole, lead = _shingles(shingles)
         lead = lead[_new(lead)]
-        marks = marks.sort_by("part")
-        sizes = [x.stop - x.start for _, x in _slices(lead << np.uint64(64 - 8 * _COUNTED), parts)]
+        sizes = [x.stop - x.start for _, x in _slices(lead << np.uint64(64 - 8 * _COUNTED), marked)]
         bits = []
         for column in ("several", "long"):
             found = [np.unpackbits(np.frombuffer(raw, np.uint8), count=size) for raw, size in zip(marks.column(column).to_pylist(), sizes, strict=True)]
             bits.append(np.concatenate(found).astype(bool))
         at = np.searchsorted(lead, whole >> np.uint64(64 - 8 * _COUNTED))
         several, is_long = bits[0][at], bits[1][at]
-        names = (np.int64(key[0].as_py()) << SET_BITS) + np.arange(len(n))
+        names = (np.int64(block) << SET_BITS) + np.arange(len(n))
         of = np.repeat(np.arange(len(n)), n)
         order = np.lexsort((is_long, of))  # stable: by hash among the long and among the others
         whole, several, is_long = whole[order], several[order], is_long[order]
@@ -442,16 +455,24 @@ def _second_prefixes(percent: int, parts: int) -> Callable:
         h, long_too, owner = whole[listed], is_long[listed], of[listed]
         order = np.argsort(h, kind="stable")
         h, owner, long_too = h[order], owner[order], long_too[order]
-        start = np.flatnonzero(_new(h)) if len(h) else np.zeros(0, np.int64)
+        start = np.flatnonzero(_new(h))
         first = np.repeat(start, np.diff(np.concatenate([start, [len(h)]])))
         tied = long_too & (first != np.arange(len(h)))
         stars = np.unique(owner[first[tied]] * len(n) + owner[tied])
-        star_a, star_b = names[stars // len(n)], names[stars % len(n)]
         h, owner, long_too = h[~tied], owner[~tied], long_too[~tied]
         columns = (h, names[owner], n[owner].astype(np.int32), (n - np.minimum(prefix, n_short))[owner].astype(np.int32), long_too)
         rows = [(p, *(c[x].tobytes() for c in columns), None, None) for p, x in _slices(h, parts)]
         if len(stars):
-            rows.append((int(names[0] >> SET_BITS) % parts, *[None] * 5, star_a.tobytes(), star_b.tobytes()))
+            rows.append((block % parts, *[None] * 5, names[stars // len(n)].tobytes(), names[stars % len(n)].tobytes()))
+        return rows
+
+    def run(key: tuple, blocks: pa.Table, marks: pa.Table) -> pa.Table:
+        marks = marks.sort_by([("block", "ascending"), ("part", "ascending")])
+        of = marks.column("block").to_numpy()
+        rows = []
+        for block, n, shingles in zip(*(blocks.column(c) for c in ("block", "n", "shingles")), strict=True):
+            a, b = np.searchsorted(of, block.as_py()), np.searchsorted(of, block.as_py(), "right")
+            rows += listed_of(block.as_py(), n.values.to_numpy().astype(np.int64), shingles.as_buffer(), marks.slice(a, b - a))
         cells = list(zip(*rows, strict=True)) or [()] * 8
         return pa.table([pa.array(cells[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cells[1:]]], ["part", "h", "name", "n", "rest", "long", "star_a", "star_b"])
 
@@ -781,10 +802,11 @@ def _groups(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     staying = stay.count()
     picked = texts.where("text is not null").join(F.broadcast(stay) if staying <= BROADCAST else stay, ["id", "mark"]).select("id", "text", "key")
     with arrow_rows(spark, DOCS):
-        sets = materialise(picked.mapInArrow(_whole_sets(words), SETS), "sets")
+        sets = bucketed(picked.mapInArrow(_whole_sets(words), SETS), "sets", "run", parts)
     if (sets.agg(F.sum(F.size("n"))).first()[0] or 0) > staying:  # rows repeated in several tasks
         repeated = sets
-        sets = materialise(repeated.mapInArrow(_apart, APART).dropDuplicates(["key"]).mapInArrow(_again, SETS), "sets")
+        with arrow_rows(spark, BLOCKS):
+            sets = bucketed(repeated.mapInArrow(_apart, APART).dropDuplicates(["key"]).mapInArrow(_again, SETS), "sets", "run", parts)
         forget(repeated)
 
     with arrow_rows(spark, BLOCKS):
@@ -813,10 +835,12 @@ def _name():
 
 def _linked(sets: DataFrame, percent: int, parts: int, short: int, family_entries: int) -> DataFrame:
     """``name, root, links`` of the sets that are in families."""
-    counted = sets.select("block", "shingles").mapInArrow(_owners(parts), "part int, block long, h binary, at binary, count binary")
-    marks = counted.groupBy("part").applyInArrow(_marks(short), "block long, part int, several binary, long binary")
-    second = sets.select("block", "n", "shingles").groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_second_prefixes(percent, parts), SECOND)
+    marked = 4 * parts
+    counted = sets.select("run", "block", "shingles").mapInArrow(_owners(marked), OWNERS)
+    marks = materialise(counted.groupBy("part").applyInArrow(_marks(short), MARKS), "marks")
+    second = sets.select("run", "block", "n", "shingles").groupBy("run").cogroup(marks.groupBy("run")).applyInArrow(_second_prefixes(percent, parts, marked), SECOND)
     partners = materialise(second.groupBy("part").applyInArrow(_partners(percent, parts), PARTNERS), "partners")
+    forget(marks)
     family = connected(partners.groupBy("part").applyInArrow(_merged, "a long, b long"))
     family = materialise(family.select(F.col("node").alias("name"), F.col("root").alias("family")), "family")
     forget(partners)

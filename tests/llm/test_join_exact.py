@@ -90,3 +90,23 @@ def test_blocks_and_rows_hold_the_same_sets(spark, monkeypatch):
     rows = pa.Table.from_batches(list(jaccard_join._apart(iter(blocks)))).to_pylist()
     assert [(r["id"], r["key"], r["n"], r["shingles"]) for r in rows] == [(i, b"%d" % i, len(s) // 8, s) for i, s in enumerate(sets)]
     assert len(blocks) > 20 and len({r["name"] for r in rows}) == 50
+
+
+def test_counted_shingles_travel_whole():
+    rng = np.random.default_rng(4)
+    lead = np.unique(rng.integers(0, 2**48, 3000, dtype=np.uint64))
+    assert (jaccard_join._unpacked(jaccard_join._packed(lead), len(lead)) == lead).all()
+    assert jaccard_join._unpacked(jaccard_join._packed(lead[:1]), 1).tolist() == lead[:1].tolist()
+
+
+def test_sets_are_grouped_where_they_lie(spark):
+    """The bucketed sets get their marks without a shuffle of their own."""
+    from gleanery.llm.common import bucketed, forget
+
+    sets = bucketed(spark.createDataFrame([(i, i, [1], [b"k"], [1], b"x" * 8) for i in range(20)], jaccard_join.SETS), "sets", "run", 4)
+    marks = spark.createDataFrame([(1, 1, 1, b"", b"")], jaccard_join.MARKS)
+    joined = sets.groupBy("run").cogroup(marks.groupBy("run")).applyInArrow(lambda key, a, b: a.select(["run"]), "run long")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert joined.count() == 20
+    forget(sets)
