@@ -35,7 +35,7 @@ def test_blocks_per_source_and_shard_meet_their_quota(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     source = {n: s for n, _, s in rows}
     got = Counter()
-    for r in mixing.mix_shards(docs, blocks_per_source=10_000, shards=5).collect():
+    for r in mixing.mix_shards(docs, blocks=10_000, shards=5).collect():
         got["0" + source[r["doc_id"]], r["shard"]] += r["taken"]
     plan = mixing.apportion(mixing.source_targets(docs.select(F.concat(F.lit("0"), "source").alias("skey"), F.lit(1).cast("long").alias("size"))), 10_000)
     assert plan.first()["block"] == 1

@@ -195,9 +195,23 @@ def test_digest_index_persists(spark, empty):
     assert exact_dedup.DigestIndex(spark, path, 3).read().count() == 3
 
 
+def test_a_batch_may_be_repeated(spark):
+    """A run that died behind its append and is repeated under its name keeps what it would have kept."""
+    path = scratch(spark, "t5d")
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet")
+    index = exact_dedup.DigestIndex(spark, path, 3)
+    exact_dedup.exact_dedup(rows.where("doc_id % 7 = 0"), index, batch_name="before")
+    first = sorted(map(tuple, exact_dedup.exact_dedup(rows, index, batch_name="day").collect()))
+    held = index.read().count()
+    again = sorted(map(tuple, exact_dedup.exact_dedup(rows.repartition(3), index, batch_name="day").collect()))
+    assert first == again and sum(r[3] for r in first) > 0 and index.read().count() == held
+    assert not any(r["kept"] for r in exact_dedup.exact_dedup(rows, index, batch_name="other").collect())
+    index.drop()
+
+
 def test_digest_index_is_joined_without_shuffling_it(spark):
     index = exact_dedup.DigestIndex(spark, scratch(spark, "t5c"), 3)
-    index.append(spark.createDataFrame([(b"a", 1)], "digest binary, keep_id long"))
+    index.append(spark.createDataFrame([(b"a", 1)], "digest binary, keep_id long"), "first")
     new = spark.createDataFrame([(b"a", 1), (b"b", 2)], "digest binary, keep_id long").hint("merge")
     plan = new.join(index.read(), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("Exchange") == 1
@@ -402,7 +416,7 @@ def test_mix_targets_and_bounds(spark):
         taken[s] = taken.get(s, 0) + r.taken
     assert sum(want.values()) == pytest.approx(sum(sizes.values()))
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= max(0.02 * want[s], 30)
+        assert abs(taken[s] - want[s]) < 2
     assert got.equals(mixing.mix(df.repartition(7)).toPandas().set_index("doc_id").loc[got["doc_id"]].reset_index()[got.columns.tolist()])
 
 
@@ -410,13 +424,13 @@ def test_seats_are_sainte_lague(spark):
     rng = random.Random(8)
     sizes = {f"s{i}": rng.randrange(1, 10**6) for i in range(23)}
     rows = spark.createDataFrame(list(sizes.items()), "skey string, size long")
-    plan = mixing.apportion(mixing.source_targets(rows), 16).toPandas()
+    plan = mixing.apportion(mixing.source_targets(rows), 276).toPandas()
     block, target = int(plan["block"][0]), dict(zip(plan["skey"], plan["target"], strict=True))
     seats = dict(zip(plan["skey"], plan["seats"], strict=True))
     assert sum(seats.values()) == round(sum(sizes.values()) / block)
     # Highest quotients have won: no seat that was given has a lower one than a seat that wasn't (ties either way).
     assert min(target[s] / (2 * n - 1) for s, n in seats.items() if n) >= max(target[s] / (2 * n + 1) for s, n in seats.items()) * (1 - 1e-12)
-    quotas = mixing.shard_quotas(mixing.apportion(mixing.source_targets(rows), 16), 5).toPandas()
+    quotas = mixing.shard_quotas(mixing.apportion(mixing.source_targets(rows), 276), 5).toPandas()
     assert quotas.groupby("skey")["quota"].sum().to_dict() == seats
     per = quotas.groupby("shard")["quota"].sum()
     assert per.max() - per.min() <= 1

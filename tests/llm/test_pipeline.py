@@ -35,3 +35,15 @@ def test_stages_take_awkward_rows(spark):
     once = corpus_pipeline.drop_copies(spark, docs, SMALL)
     assert once.count() == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
     assert once.where("doc_id = 9").count() == 1
+
+
+def test_rows_that_repeat_an_id_are_judged_for_themselves(spark):
+    t, u = " ".join(f"t{i}" for i in range(60)), " ".join(f"u{i}" for i in range(40))
+    rows = [(1, t, "en", "a", 1), (9, t + " word", "en", "a", 1), (9, u, "en", "a", 1), (9, u, "en", "a", 1), (None, u + " x", "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    once = materialise(corpus_pipeline.drop_copies(spark, docs, SMALL), "t")
+    assert sorted(map(repr, map(tuple, once.collect()))) == sorted(map(repr, set(rows)))
+    near = materialise(corpus_pipeline.drop_near_copies(spark, once, SMALL), "t")
+    assert sorted(map(repr, map(tuple, near.collect()))) == sorted(map(repr, {rows[0], rows[2], rows[4]}))
+    mixed = [tuple(r) for r in corpus_pipeline.apply_mix(spark, near, SMALL).collect()]
+    assert set(mixed) <= set(rows) and max(map(mixed.count, mixed)) <= 3
