@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
-from gleanery.llm.common import materialise, scratch, shuffle_partitions
+from gleanery.llm.common import forget, materialise, scratch, shuffle_partitions
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold; the machine learns from the labelled documents of ``sf_dir``."""
+    """Documents whose toxicity score is below the threshold; the machine learns from the labelled documents of ``sf_dir``.
+
+    Null and empty texts score as texts without words. Every row is judged by its own text, whatever its id.
+    """
     machine = toxicity.toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.with_scores(docs.select(*COLUMNS), machine)
     return scored.where(F.col("score") < toxicity.THRESHOLD).drop("score")
@@ -25,42 +28,34 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text, against a digest index that starts empty; the largest id stays.
 
-    Rows that repeat an id and its text are one document.
+    A null text is an empty one. A null id loses to any other; rows that repeat an id and its text are one document.
     """
     index = exact_dedup.DigestIndex(spark, scratch(spark, "pipeline"), shuffle_partitions(spark))
-    judged = materialise(exact_dedup.exact_dedup(docs, index).select("doc_id", "text_sha256", "kept"), "judged")
-    kept = judged.where("kept").select("doc_id", "text_sha256")
-    own = docs.select(*COLUMNS, F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    left = own.join(kept, own.doc_id.eqNullSafe(kept.doc_id) & (own.text_sha256 == kept.text_sha256), "left_semi")
-    if judged.groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count():
-        left = left.dropDuplicates(["doc_id", "text_sha256"])
-    return left.select(*COLUMNS)
+    left = exact_dedup.without_copies(docs.select(*COLUMNS), index, batch_name="documents")
+    index.drop()
+    return left
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by shingles: the one whose id names the group."""
-    named = jaccard_join.jaccard_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    own = docs.select(*COLUMNS)
-    return own.join(named, own.doc_id.eqNullSafe(named.doc_id), "left_semi")
+    """One document of each group linked by shingles: the one whose id names the group.
+
+    Texts without words and rows with a null id link with nothing and stay. Rows that repeat an id are told apart by their texts.
+    """
+    return jaccard_join.without_near_copies(docs.select(*COLUMNS))
 
 
 def apply_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents as often as the mix takes them.
 
     A document of which ``taken`` words are taken appears floor(taken / size) times, and once more with the
-    remaining fraction as its chance, by seeded hash: sources keep to their targets and reruns agree.
+    remaining fraction as its chance, by seeded hash: sources keep to their targets and reruns agree. Documents without words
+    aren't taken; rows that repeat an id are taken each for itself.
     """
-    chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.col("taken") / F.col("size")
-    times = F.floor(share) + (chance < share - F.floor(share)).cast("int")
-    taken = mixing.mix(docs).where("taken > 0").select("doc_id", times.cast("int").alias("times")).groupBy("doc_id").agg(F.max("times").alias("times")).where("times > 0")
-    own = docs.select(*COLUMNS)
-    mixed = own.join(taken, own.doc_id.eqNullSafe(taken.doc_id)).drop(taken.doc_id)
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    return mixing.mixed_rows(docs.select(*COLUMNS))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of ids and decoded bytes of every document of the mix."""
+    """Token count and digests of ids and decoded bytes of every document of the mix, each row for itself; null ids stay null."""
     import public_tokenizers
 
     tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -82,8 +77,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            forget(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
