@@ -1,20 +1,24 @@
 """Nearest neighbours by score-aware (anisotropic) product quantisation, four-bit scans and exact reranking.
 
-Euclidean search is maximum inner product search: |q-x|^2 = |q|^2 - 2 (q.x - |x|^2 / 2). The norm term is stored
-exactly; the inner product is approximated by codebooks of 16 centres per subspace, fitted and assigned under a
-loss that weighs the residual's part parallel to the vector ``1 + eta`` times as much as the rest, because that
+Euclidean search is maximum inner product search: |q-x|^2 = |q|^2 - 2 (q.x - |x|^2 / 2), wherever the origin lies; it is put
+into the sample's mean. The norm term is stored exactly; the inner product is approximated by codebooks of 16 centres per subspace, fitted
+and assigned under a loss that weighs the residual's part parallel to the vector ``1 + eta`` times as much as the rest, because that
 part is what moves the largest inner products.
 
-Codebooks are fitted on a bounded sample; every valid row is coded, two four-bit codes to a byte. A search
-broadcasts a block of queries of bounded size and scans all rows: a byte indexes a table of 256 sums per pair of
-subspaces. The best ``rerank`` distinct vectors of each scanned batch are measured exactly, and a task keeps the
-best ``k`` of each query as it goes, so a query's merge reads ``k`` rows per task.
+Codebooks and the centres of coarse cells are fitted on a bounded sample; what a cell's centre leaves of a valid row is coded, two four-bit
+codes to a byte, and written with the cell (inside a cell the centre's part is the same for all). How many cells a query probes follows from the sample: as many as hold ``goal`` of the
+neighbours there. Queries are joined to their cells by key: a group is a chunk of a cell's rows and a block of the queries that
+probe it, both of bounded size, however many rows share a cell. A byte indexes a table of 256 sums per pair of subspaces. The best
+of a group's distinct vectors (a share of them, ``share`` in all, ``rerank`` at least) are measured exactly on the original
+components, and a query's merge reads ``k`` rows per group.
+
+On data without any clusters a query has to probe most cells: then work is queries times rows, spread over groups.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,19 +26,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import materialise
 
 SAMPLE = 8192
-QUERY_BLOCK = 4096
 CENTRES = 16
+CELL_ROWS, CELLS = 8192, 1024  # rows of a cell aimed at; cells at most
+CHUNK_ROWS, QUERY_BLOCK = 8192, 4096
+GOAL, PROBED = 0.98, 256  # share of a sampled query's neighbours that its cells hold; queries tried for that
+FAR = 1e15  # components beyond this many deviations are coded as that; they are measured exactly
+RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str, dim: int | None = None) -> tuple[DataFrame, int | None]:
     """``vec_id, vec`` of rows that take part, and their dimension (default: the most frequent length).
 
-    Left out: null ids, null vectors, other lengths, null or non-finite components, all-zero vectors.
+    Left out: null ids, null vectors, other lengths, null or non-finite components, all-zero vectors. Components keep their
+    type if it is float or double, others become double.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vec"))
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    vec = F.col(f"`{vector_col}`") if kind in ("array<float>", "array<double>") else F.col(f"`{vector_col}`").cast("array<double>")
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), vec.alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & finite & F.exists("vec", lambda x: x != 0))
     if dim is None:
@@ -43,11 +54,39 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str, dim: int | N
     return rows.where(F.size("vec") == F.lit(dim)), dim
 
 
+def cells_of(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
+    """Centres of coarse cells: k-means from the first rows of the sample."""
+    centres = sample[:cells].copy()
+    for _ in range(rounds):
+        own = nearest_cells(sample, centres, 1)[:, 0]
+        count = np.bincount(own, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, sample)
+        centres[count > 0] = sums[count > 0] / count[count > 0, None]
+    return centres
+
+
+def nearest_cells(x: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+    """The cells nearest to each row, nearest first."""
+    out = np.empty((len(x), probes), np.int32)
+    half = (centres**2).sum(1) / 2
+    for at in range(0, len(x), 4096):
+        out[at : at + 4096] = np.argsort(half - x[at : at + 4096] @ centres.T, 1, kind="stable")[:, :probes]
+    return out
+
+
 class Quantiser:
-    """Anisotropic product quantiser: ``books[s, c]`` are the 16 centres of subspace ``s``."""
+    """Anisotropic product quantiser: ``books[s, c]`` are the 16 centres of subspace ``s``; with the cells, their probes and the origin."""
 
     def __init__(self, books: np.ndarray, dim: int, eta: float):
         self.books, self.dim, self.eta = books, dim, eta
+        self.origin, self.scale = np.zeros(dim), 1.0
+        self.cells, self.probes = np.zeros((1, dim)), 1
+
+    def placed(self, vectors: np.ndarray) -> np.ndarray:
+        """Original vectors as they are coded: from the origin, by the scale."""
+        with np.errstate(over="ignore"):
+            return np.clip((vectors.astype(np.float64) - self.origin) / self.scale, -FAR, FAR)
 
     @staticmethod
     def split(x: np.ndarray, parts: int) -> np.ndarray:
@@ -55,34 +94,43 @@ class Quantiser:
         width = -(-x.shape[1] // parts)
         return np.pad(x, ((0, 0), (0, width * parts - x.shape[1]))).reshape(len(x), parts, width)
 
+    def _directions(self, vectors: np.ndarray) -> np.ndarray:
+        x = self.split(vectors.astype(np.float64), len(self.books))
+        return x / np.maximum(np.sqrt((x**2).sum((1, 2), keepdims=True)), 1e-300)
+
     @classmethod
-    def fit(cls, sample: np.ndarray, width: int = 2, threshold: float = 0.2, rounds: int = 8, seed: int = 7) -> Quantiser:
-        """Alternate assignment and weighted least squares for the centres, on a bounded sample."""
+    def fit(cls, sample: np.ndarray, rests: np.ndarray | None = None, width: int = 2, threshold: float = 0.2, rounds: int = 8, seed: int = 7) -> Quantiser:
+        """Alternate assignment and weighted least squares for the centres, on a bounded sample.
+
+        ``rests`` (default: the vectors themselves) are coded, what is left of the vectors beside their cells' centres; the
+        directions that weigh residuals are those of the vectors.
+        """
+        rests = sample if rests is None else rests
         dim = sample.shape[1]
         parts = -(-dim // width)
         parts += parts % 2
-        x = cls.split(sample.astype(np.float64), parts)
+        x = cls.split(rests.astype(np.float64), parts)
         chance = np.random.default_rng(seed)
         start = x[chance.choice(len(x), CENTRES, replace=len(x) < CENTRES)]
         books = start.transpose(1, 0, 2) + chance.normal(0, 1e-6, (parts, CENTRES, x.shape[2]))
         eta = max(0.0, (dim - 1) * threshold**2 / (1 - threshold**2))
         made = cls(books, dim, eta)
+        along = made._directions(sample)
         for turn in range(rounds):
             made.eta = eta if turn >= 2 else 0.0  # plain k-means first
-            codes = made.codes(sample)
-            made._move(x, codes)
+            made._move(x, along, made.codes(sample, rests))
         made.eta = eta
         return made
 
-    def codes(self, vectors: np.ndarray, sweeps: int = 2) -> np.ndarray:
+    def codes(self, vectors: np.ndarray, rests: np.ndarray | None = None, sweeps: int = 2) -> np.ndarray:
         """Codes by coordinate descent on the anisotropic loss, started from the nearest centres."""
         parts = len(self.books)
-        x = self.split(vectors.astype(np.float64), parts)
-        u = x / np.maximum(np.sqrt((x**2).sum((1, 2), keepdims=True)), 1e-300)
+        x = self.split((vectors if rests is None else rests).astype(np.float64), parts)
         plain = [((x[:, s, None, :] - self.books[s][None]) ** 2).sum(2) for s in range(parts)]
         codes = np.stack([p.argmin(1) for p in plain], 1)
         if not self.eta:
             return codes
+        u = self._directions(vectors)
         along = [((x[:, s, None, :] - self.books[s][None]) * u[:, s, None, :]).sum(2) for s in range(parts)]
         row = np.arange(len(x))
         total = sum(along[s][row, codes[:, s]] for s in range(parts))
@@ -93,9 +141,8 @@ class Quantiser:
                 total = rest + along[s][row, codes[:, s]]
         return codes
 
-    def _move(self, x: np.ndarray, codes: np.ndarray) -> None:
+    def _move(self, x: np.ndarray, u: np.ndarray, codes: np.ndarray) -> None:
         parts, width = len(self.books), x.shape[2]
-        u = x / np.maximum(np.sqrt((x**2).sum((1, 2), keepdims=True)), 1e-300)
         residual = x - np.stack([self.books[s][codes[:, s]] for s in range(parts)], 1)
         along = (residual * u).sum(2)
         total = along.sum(1)
@@ -124,19 +171,69 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def build_index(rows: DataFrame, dim: int, path: str, sample: int = SAMPLE) -> Quantiser:
-    """Fit on the ``sample`` rows that come first in hash order and write all rows with codes to ``path``."""
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    coder = Quantiser.fit(_matrix(some.column("vec").combine_chunks(), dim))
+def fitted(sample: np.ndarray, rows: int, goal: float = GOAL, cell_rows: int = CELL_ROWS) -> Quantiser:
+    """Codebooks, cells and probes from a sample of original vectors; ``rows`` there are in all."""
+    sample = np.unique(sample.astype(np.float64), axis=0)
+    sample = sample[np.random.default_rng(3).permutation(len(sample))]
+    origin = np.median(sample, 0)
+    with np.errstate(over="ignore"):
+        spread = np.sort(np.abs(sample - origin).max(1))
+    scale = spread[len(spread) // 2] or spread[-1] or 1.0
+    if not np.isfinite(scale):
+        scale = float(np.finfo(float).max)
+    with np.errstate(over="ignore"):
+        x = np.clip((sample - origin) / scale, -FAR, FAR)
+    cells = max(1, min(CELLS, len(x) // 8, -(-rows // cell_rows)))
+    centres = cells_of(x, cells)
+    own = nearest_cells(x, centres, 1)[:, 0]
+    made = Quantiser.fit(x, x - centres[own])
+    made.origin, made.scale, made.cells = origin, scale, centres
+    if cells > 1:
+        asked = x[:PROBED]
+        near = np.argsort((x**2).sum(1) / 2 - asked @ x.T, 1)[:, :11]
+        order = nearest_cells(asked, centres, cells)
+        place = np.argsort(order, 1)  # of each cell in the query's order
+        ranks = np.sort(np.take_along_axis(place, own[near].astype(np.int64), 1)[:, 1:].ravel())
+        made.probes = int(ranks[min(len(ranks) - 1, math.ceil(goal * len(ranks)) - 1)]) + 1
+    return made
+
+
+INDEX = "cell int, spot long, vec_id long, vec {kind}, code binary"
+
+
+def build_index(rows: DataFrame, dim: int, sample: int = SAMPLE, goal: float = GOAL, cell_rows: int = CELL_ROWS) -> tuple[Quantiser, DataFrame]:
+    """Fit on the ``sample`` rows that come first in hash order and write all rows with their cells and codes."""
+    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(sample).toArrow()
+    total = some.num_rows if some.num_rows < sample else rows.count()
+    coder = fitted(_matrix(some.column("vec").combine_chunks(), dim), total, goal, cell_rows)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        spot = TaskContext.get().partitionId() << 40
         for b in batches:
             if b.num_rows:
-                packed = Quantiser.packed(coder.codes(_matrix(b.column("vec"), dim)))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([p.tobytes() for p in packed], pa.binary())], ["vec_id", "vec", "code"])
+                x = coder.placed(_matrix(b.column("vec"), dim))
+                cell = nearest_cells(x, coder.cells, 1)[:, 0]
+                packed = Quantiser.packed(coder.codes(x, x - coder.cells[cell]))
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(np.arange(spot, spot + len(x))), *b.columns, pa.array([p.tobytes() for p in packed], pa.binary())], ["cell", "spot", "vec_id", "vec", "code"])
+                spot += len(x)
+
+    kind = rows.schema["vec"].dataType.simpleString()
+    return coder, materialise(rows.select("vec_id", "vec").mapInArrow(coded, INDEX.format(kind=kind)), "ann")
 
-    rows.select("vec_id", "vec").mapInArrow(coded, "vec_id long, vec array<float>, code binary").write.parquet(path)
-    return coder
+
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean, in double precision, also where squares would overflow or vanish."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        gap = x - q
+        most = np.abs(gap).max(1)
+        dist = np.sqrt((gap**2).sum(1))
+        odd = ((most > 1e150) | (most < 1e-150)) & (most > 0) & (most < np.inf)
+        if odd.any():
+            dist[odd] = most[odd] * np.sqrt(((gap[odd] / most[odd, None]) ** 2).sum(1))
+        dist[most == np.inf] = np.inf
+    return dist
 
 
 def _best(ids: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,47 +241,42 @@ def _best(ids: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return ids[keep], dist[keep]
 
 
-def _scan(coder: Quantiser, held, dim: int, k: int, rerank: int):
-    """A task's ``k`` nearest of each query of the block."""
+def _scan(coder, dim: int, k: int, share: float):
+    """A chunk's ``k`` nearest of each query of a block."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries = held.value
-        tables, exact = coder.tables(queries), queries.astype(np.float64)
-        found = [(np.zeros(0, np.int64), np.zeros(0)) for _ in query_ids]
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, vec = b.column("vec_id").to_numpy(), _matrix(b.column("vec"), dim)
-            code = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+    def run(key: tuple, rows: pa.Table, asked: pa.Table) -> pa.Table:
+        found: tuple[list, ...] = ([], [], [])
+        if rows.num_rows and asked.num_rows:
+            own = coder.value
+            ids, vec = rows.column("vec_id").to_numpy(), _matrix(rows.column("vec").combine_chunks(), dim)
+            code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+            query_ids, queries = asked.column("query_id").to_numpy(), _matrix(asked.column("q").combine_chunks(), dim).astype(np.float64)
             # Copies of a vector count once in the scan; of each, the ids that could be among the k are kept.
             order = np.argsort(ids, kind="stable")
-            ids, vec, code = ids[order], np.ascontiguousarray(vec[order]), code[order]
+            ids, vec, code = ids[order], np.ascontiguousarray(vec[order]) + 0.0, code[order]  # + 0.0: one zero only
             _, first, group = np.unique(vec.view(np.dtype((np.void, vec.dtype.itemsize * dim))).ravel(), return_index=True, return_inverse=True)
             by_group = np.argsort(group, kind="stable")
             starts = np.searchsorted(group[by_group], np.arange(len(first) + 1))
             vec, code = vec[first].astype(np.float64), code[first]
-            half = (vec**2).sum(1) / 2
-            few = min(rerank, len(first))
+            half = (own.placed(vec) ** 2).sum(1) / 2
+            few = min(len(first), math.ceil(share * len(first)) + k + 1)
             for at in range(0, len(query_ids), 64):
-                score = np.repeat(-half[None].astype(np.float32), len(query_ids[at : at + 64]), 0)
+                tables = own.tables(own.placed(queries[at : at + 64]))
+                score = np.repeat(-half[None].astype(np.float32), len(tables), 0)
                 for p in range(code.shape[1]):
-                    score += tables[at : at + 64, p][:, code[:, p]]
+                    score += tables[:, p][:, code[:, p]]
                 near = np.argpartition(-score, few - 1, 1)[:, :few]
-                for row, own in enumerate(near):
-                    i = at + row
-                    dist = np.sqrt(((vec[own] - exact[i]) ** 2).sum(1))
+                for i, best in enumerate(near, at):
+                    dist = distances(vec[best], queries[i])
                     # k + 1 copies cover the query's own row.
-                    members = [ids[by_group[starts[g] : min(starts[g] + k + 1, starts[g + 1])]] for g in own]
+                    members = [ids[by_group[starts[g] : min(starts[g] + k + 1, starts[g + 1])]] for g in best]
                     each = np.concatenate(members)
-                    far = np.repeat(dist, [len(m) for m in members])
                     other = each != query_ids[i]
-                    found[i] = _best(np.concatenate([found[i][0], each[other]]), np.concatenate([found[i][1], far[other]]), k)
-        sizes = [len(i) for i, _ in found]
-        if sum(sizes):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(query_ids, sizes), pa.int64()), pa.array(np.concatenate([i for i, _ in found]), pa.int64()), pa.array(np.concatenate([d for _, d in found]), pa.float64())],
-                ["query_id", "vec_id", "score"],
-            )
+                    top = _best(each[other], np.repeat(dist, [len(m) for m in members])[other], k)
+                    for column, value in zip(found, (np.full(len(top[0]), query_ids[i]), *top), strict=True):
+                        column.append(value)
+        kinds = (np.int64, np.int64, np.float64)
+        return pa.table({c: np.concatenate([np.zeros(0, t), *x]) for c, t, x in zip(("query_id", "vec_id", "score"), kinds, found, strict=True)})
 
     return run
 
@@ -193,39 +285,57 @@ def nearest(
     vectors: DataFrame,
     queries: DataFrame | None = None,
     k: int = 10,
-    rerank: int = 400,
+    rerank: int = 256,
+    share: float = 0.01,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     every: int = 100,
     dim: int | None = None,
+    goal: float = GOAL,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest rows found, by exact Euclidean distance.
+    """``query_id, rank, vec_id, score``: the ``k`` nearest rows found, by exact Euclidean distance in double precision.
 
-    ``queries`` (default: rows whose id is divisible by ``every``) are searched against all valid rows but their
+    ``queries`` (default: rows whose id is divisible by ``every``) are searched against all valid rows but those of their
     own id. Ties go to the smaller id. Fewer than ``k`` candidates give fewer rows; no valid vector gives no
-    rows. Rows that take no part: see ``valid_vectors``. Copies of a vector are scanned once a batch, so they
-    cannot crowd others out. Repeated ids are separate candidates. Extra columns are ignored.
+    rows. Rows that take no part: see ``valid_vectors``. Copies of a vector are scanned once a group, so they
+    cannot crowd others out. Repeated ids are separate candidates; of queries with one id the smallest vector asks. Extra columns are ignored.
+
+    ``goal=1`` probes every cell, ``share=1`` besides measures every row exactly.
     """
     spark = vectors.sparkSession
     rows, dim = valid_vectors(vectors, id_col, vector_col, dim)
-    schema = "query_id long, vec_id long, score double"
     if dim is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    path = scratch(spark, "ann")
-    coder = build_index(rows, dim, path)
-    index = spark.read.parquet(path)
+        return spark.createDataFrame([], RESULT)
+    coder, index = build_index(rows, dim, goal=goal, cell_rows=cell_rows)
     asked = index.where(F.col("vec_id") % every == 0) if queries is None else valid_vectors(queries, id_col, vector_col, dim)[0]
-    asked = asked.select("vec_id", "vec").dropDuplicates(["vec_id"])
-    block = F.expr(f"vec_id div {every} div {QUERY_BLOCK}" if queries is None else f"pmod(xxhash64(vec_id), {max(1, -(-asked.count() // (QUERY_BLOCK // 2)))})")
-    asked = asked.withColumn("block", block)
-    parts = []
-    for (b,) in asked.select("block").distinct().orderBy("block").collect():
-        got = asked.where(F.col("block") == b).orderBy("vec_id").toArrow()
-        held = spark.sparkContext.broadcast((got.column("vec_id").to_numpy(), _matrix(got.column("vec").combine_chunks(), dim)))
-        parts.append(index.mapInArrow(_scan(coder, held, dim, k, rerank), schema))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = reduce(DataFrame.unionAll, parts)
+    asked = asked.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("q"))
+    counts = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("asking")).collect()  # a row per cell
+    total = sum(r["n"] for r in counts)
+    asking = sum(r["asking"] for r in counts) if queries is None else asked.count()
+    probes = len(coder.cells) if goal >= 1 else coder.probes
+    blocks = max(1, math.ceil(asking * min(1.0, 2 * probes / len(coder.cells)) / QUERY_BLOCK))
+    chunks = [0] * len(coder.cells)
+    for r in counts:
+        chunks[r["cell"]] = -(-r["n"] // CHUNK_ROWS)
+    held, chunks_of = spark.sparkContext.broadcast(coder), F.array(*[F.lit(n) for n in chunks])
+
+    def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cells = nearest_cells(held.value.placed(_matrix(b.column("q"), dim)), held.value.cells, probes)
+                yield b.append_column("cells", pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), probes).cast(pa.list_(pa.int32())))
+
+    kind = asked.schema["q"].dataType.simpleString()
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    probed = asked.mapInArrow(probing, f"query_id long, q {kind}, cells array<int>").select("query_id", "q", block.alias("block"), F.explode("cells").alias("cell"))
+    several = F.element_at(chunks_of, F.col("cell") + 1)
+    probed = probed.where(several > 0).select("query_id", "q", "block", "cell", F.explode(F.sequence(F.lit(0), several - 1)).alias("chunk"))
+    chunk = F.pmod(F.xxhash64("spot"), several.cast("long")).cast("int")
+    scanned = index.select("vec_id", "vec", "code", "cell", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    key = ["cell", "chunk", "block"]
+    budget = min(1.0, max(share, rerank / max(1, total)) * len(coder.cells) / probes)  # of the rows that are probed
+    found = scanned.groupBy(*key).cogroup(probed.groupBy(*key)).applyInArrow(_scan(held, dim, k, budget), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
