@@ -1,9 +1,11 @@
 """Byte-level BPE over a corpus: every distinct word is encoded once.
 
-Texts are split into pre-tokens in blocks of some megabytes. A block keeps its documents as positions in the
-block's own word list; the list itself is dealt out by word hash, so that equal words of all blocks meet in one
+One pass splits texts into pre-tokens, in blocks of some megabytes, and writes each block: its documents as positions in the
+block's own word list, and that list, cut by word hash. The lists are dealt out, so that equal words of all blocks meet in one
 group, where each is encoded once. The ids go back to their blocks (a word crosses the network once per block,
-not once per occurrence) and documents are reassembled by position. Rows that travel are packed arrays.
+not once per occurrence) and documents are reassembled by position. Blocks are bucketed where they are written and aren't
+shuffled; as positions and lists come of the same pass, rows that come in another order when a task is run again do no harm.
+What travels is packed.
 
 Decoding looks the ids up in the table of token bytes. That table has as many rows as the vocabulary, which is
 what bounds the broadcast.
@@ -21,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import arrow_rows, bucketed, few_rows, parts_for
 
 BLOCK_CHARS = 16 << 20
+RUN_BITS = 2  # blocks of a run, that is of a group when ids come back: 4
 CHUNK_TOKENS = 1 << 18
+ROWS = 512  # documents that a worker holds as text at a time
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -36,72 +40,79 @@ def read_ranks(path: str) -> list[bytes]:
     return [token for _, token in pairs]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, pa.Array, list[np.ndarray], dict[str, int]]]:
-    """Consecutive documents as codes into the words that occur in them: number, ids, codes, words."""
-    import regex
-    from pyspark import TaskContext
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers below 2^32 as compressed byte planes."""
+    planes = np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
-    found = regex.compile(pattern).findall
-    number = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).cast(pa.large_string())
-        size = np.cumsum(pc_lengths(texts)) if len(texts) else np.zeros(0, np.int64)
-        start = 0
-        while start < len(texts):
-            done = size[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(size, done + BLOCK_CHARS, "right")))
-            words: dict[str, int] = {}
-            number_of = words.setdefault
-            codes = []
-            for text in texts.slice(start, stop - start).to_pylist():
-                got = found(text) if text else ()
-                codes.append(np.fromiter((number_of(w, len(words)) for w in got), np.uint32, len(got)))
-            yield number, ids.slice(start, stop - start), codes, words
-            number += 1
-            start = stop
 
+def _unpacked(raw: bytes, count: int) -> np.ndarray:
+    if not count:
+        return np.zeros(0, np.uint32)
+    planes = np.frombuffer(pa.decompress(raw, count * 4, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
 
-def pc_lengths(texts: pa.Array) -> np.ndarray:
-    import pyarrow.compute as pc
 
-    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+SPLIT = "run long, block long, ids array<long>, lengths array<int>, codes binary, n_words long, lists array<struct<part int, n long, size long, sizes binary, words binary>>"
 
 
-def _dealt(words: dict[str, int], parts: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words as bytes, their part by hash, and their order by part."""
-    raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    part = np.fromiter((zlib.crc32(w) for w in raw), np.uint32, len(raw)) % np.uint32(parts)
-    return raw, part, np.argsort(part, kind="stable")
+class _Block:
+    """Documents as codes into the words that occur in them."""
 
+    def __init__(self):
+        self.ids, self.codes, self.words, self.chars = [], [], {}, 0
 
-def _word_lists(pattern: str, parts: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, _, words in _blocks(batches, pattern):
-            raw, part, order = _dealt(words, parts)
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            some = [p for p in range(parts) if bounds[p] < bounds[p + 1]]
-            lists = [[raw[i] for i in order[bounds[p] : bounds[p + 1]]] for p in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([number] * len(some), pa.int64()), pa.array(lists, pa.list_(pa.binary()))], ["part", "block", "words"])
+    def add(self, doc: int | None, text: str | None, found: Callable) -> None:
+        got, words = found(text) if text else (), self.words
+        number_of = words.setdefault
+        self.ids.append(doc)
+        self.codes.append(np.fromiter((number_of(w, len(words)) for w in got), np.uint32, len(got)))
+        self.chars += len(text or "")
 
-    return run
+    def row(self, number: int, parts: int) -> pa.RecordBatch:
+        raw = [w.encode("utf-8", "surrogatepass") for w in self.words]
+        part = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)) % np.uint32(parts)
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        flat = place[np.concatenate(self.codes)] if len(raw) else np.zeros(0, np.uint32)
+        start = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]])) if len(raw) else np.zeros(0, np.int64)
+        lists = []
+        for a, b in zip(start, np.concatenate([start[1:], [len(raw)]]), strict=True):
+            own = [raw[i] for i in order[a:b]]
+            joined = b"".join(own)
+            lists.append({"part": int(part[order[a]]), "n": len(own), "size": len(joined), "sizes": _packed(np.fromiter(map(len, own), np.uint32, len(own))), "words": pa.compress(joined, "zstd", asbytes=True)})
+        kinds = {
+            "run": pa.int64(), "block": pa.int64(), "ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "codes": pa.large_binary(), "n_words": pa.int64(),
+            "lists": pa.list_(pa.struct([("part", pa.int32()), ("n", pa.int64()), ("size", pa.int64()), ("sizes", pa.binary()), ("words", pa.binary())])),
+        }
+        values = (number >> RUN_BITS, number, self.ids, [len(c) for c in self.codes], _packed(flat), len(raw), lists)
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds.values(), strict=True)], list(kinds))
 
 
-def _coded_blocks(pattern: str, parts: int) -> Callable:
+def _split(pattern: str, parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, ids, codes, words in _blocks(batches, pattern):
-            _, _, order = _dealt(words, parts)
-            place = np.empty(len(order), np.uint32)
-            place[order] = np.arange(len(order), dtype=np.uint32)
-            flat = place[np.concatenate(codes)] if codes and len(words) else np.zeros(0, np.uint32)
-            planes = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T) if len(flat) else flat
-            packed = pa.compress(planes.tobytes(), "zstd", asbytes=True)
-            row = [[number], [ids.to_pylist()], [[len(c) for c in codes]], [packed], [len(words)]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.large_binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["block", "ids", "lengths", "codes", "n_words"])
+        import regex
+        from pyspark import TaskContext
+
+        found = regex.compile(pattern).findall
+        number = TaskContext.get().partitionId() << 24
+        block = _Block()
+        for batch in few_rows(batches, ROWS):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if block.ids and block.chars + len(text or "") > BLOCK_CHARS:
+                    yield block.row(number, parts)
+                    number, block = number + 1, _Block()
+                block.add(doc, text, found)
+        if block.ids:
+            yield block.row(number, parts)
 
     return run
 
 
+CODED = "run long, block long, part int, n long, total long, sizes binary, ids binary"
+
+
 def _encode_words(tokens, pattern: str) -> Callable:
     """Encode the distinct words of one part; give each block the ids of its words, in its order."""
 
@@ -109,61 +120,54 @@ def _encode_words(tokens, pattern: str) -> Callable:
         import tiktoken
 
         coder = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens.value)}, special_tokens={})
-        lists = group.column("words").combine_chunks()
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        n, size = (group.column(c).to_numpy() for c in ("n", "size"))
+        lengths = np.concatenate([_unpacked(z.as_py(), k) for z, k in zip(group.column("sizes"), n, strict=True)])
+        joined = b"".join(pa.decompress(z.as_py(), int(k), "zstd", asbytes=True) for z, k in zip(group.column("words"), size, strict=True))
+        offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(joined)])
         # One dictionary over all blocks: each distinct word once.
-        coded = lists.flatten().dictionary_encode()
+        coded = words.dictionary_encode()
         ids = [np.asarray(coder._core_bpe.encode_single_piece(w), np.uint32) for w in coded.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        index, ends = coded.indices.to_numpy(), np.cumsum(np.diff(lists.offsets.to_numpy()))
-        lens_out, ids_out = [], []
-        for start, stop in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
-            own = index[start:stop]
-            lens_out.append(pa.compress(sizes[own].astype(np.uint32).tobytes(), "zstd", asbytes=True))
-            ids_out.append(pa.compress(np.concatenate([ids[i] for i in own]).astype(np.uint32).tobytes(), "zstd", asbytes=True))
-        totals = [int(sizes[index[a:b]].sum()) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        index, ends = coded.indices.to_numpy(), np.cumsum(n)
+        own = [index[a:b] for a, b in zip(ends - n, ends, strict=True)]
         return pa.table(
             {
-                "block": group.column("block"),
-                "part": group.column("part"),
-                "n": pa.array(np.diff(lists.offsets.to_numpy()), pa.int64()),
-                "total": pa.array(totals, pa.int64()),
-                "lens": pa.array(lens_out, pa.binary()),
-                "ids": pa.array(ids_out, pa.binary()),
+                **{c: group.column(c) for c in ("run", "block", "part", "n")},
+                "total": pa.array([int(count[x].sum()) for x in own], pa.int64()),
+                "sizes": pa.array([_packed(count[x]) for x in own], pa.binary()),
+                "ids": pa.array([_packed(np.concatenate([ids[i] for i in x])) for x in own], pa.binary()),
             }
         )
 
     return run
 
 
-def _unpack(packed: bytes, count: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(packed, count * 4, "zstd", asbytes=True), np.uint32) if count else np.zeros(0, np.uint32)
-
-
-def _reassembled(block: pa.Table, parts: pa.Table) -> Iterator[tuple[int | None, np.ndarray]]:
-    """``id, token ids`` of each document of a block."""
-    ids, lengths = block.column("ids")[0].as_py(), np.asarray(block.column("lengths")[0].as_py(), np.int64)
-    parts = parts.sort_by("part")
-    lens = [_unpack(z, n) for z, n in zip(parts.column("lens").to_pylist(), parts.column("n").to_pylist(), strict=True)]
-    flat = [_unpack(z, n) for z, n in zip(parts.column("ids").to_pylist(), parts.column("total").to_pylist(), strict=True)]
-    sizes = np.concatenate(lens).astype(np.int64) if lens else np.zeros(0, np.int64)
-    flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-    if len(sizes) != block.column("n_words")[0].as_py():
-        raise RuntimeError("a block's words did not all come back")
-    starts = np.cumsum(sizes) - sizes
-    total = int(lengths.sum())
-    planes = pa.decompress(block.column("codes")[0].as_py(), total * 4, "zstd", asbytes=True) if total else b""
-    codes = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel() if total else np.zeros(0, np.uint32)
-    at = 0
-    for doc, n in zip(ids, lengths.tolist(), strict=True):
-        pieces = []
-        for a in range(at, at + n, CHUNK_TOKENS):
-            c = codes[a : min(a + CHUNK_TOKENS, at + n)]
-            s = sizes[c]
-            shift = np.repeat(starts[c] - (np.cumsum(s) - s), s)
-            pieces.append(flat[shift + np.arange(len(shift))])
-        at += n
-        yield doc, np.concatenate(pieces) if pieces else np.zeros(0, np.uint32)
+def _reassembled(blocks: pa.Table, coded: pa.Table) -> Iterator[tuple[int | None, np.ndarray]]:
+    """``id, token ids`` of each document of a run of blocks."""
+    coded = coded.sort_by([("block", "ascending"), ("part", "ascending")])
+    of = coded.column("block").to_numpy()
+    for row in range(blocks.num_rows):
+        number, ids, lengths, n_words = (blocks.column(c)[row] for c in ("block", "ids", "lengths", "n_words"))
+        a, b = np.searchsorted(of, number.as_py()), np.searchsorted(of, number.as_py(), "right")
+        mine = coded.slice(a, b - a)
+        sizes = np.concatenate([np.zeros(0, np.uint32), *[_unpacked(z.as_py(), n.as_py()) for z, n in zip(mine.column("sizes"), mine.column("n"), strict=True)]]).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint32), *[_unpacked(z.as_py(), n.as_py()) for z, n in zip(mine.column("ids"), mine.column("total"), strict=True)]])
+        if len(sizes) != n_words.as_py():
+            raise RuntimeError("a block's words did not all come back")
+        starts = np.cumsum(sizes) - sizes
+        length = lengths.values.to_numpy()
+        codes = _unpacked(blocks.column("codes")[row].as_py(), int(length.sum()))
+        at = 0
+        for doc, n in zip(ids.values.to_pylist(), length.tolist(), strict=True):
+            pieces = []
+            for first in range(at, at + n, CHUNK_TOKENS):
+                c = codes[first : min(first + CHUNK_TOKENS, at + n)]
+                s = sizes[c]
+                shift = np.repeat(starts[c] - (np.cumsum(s) - s), s)
+                pieces.append(flat[shift + np.arange(len(shift))])
+            at += n
+            yield doc, np.concatenate(pieces) if pieces else np.zeros(0, np.uint32)
 
 
 def _bytes_of(table: pa.Array, ids: np.ndarray) -> memoryview:
@@ -200,12 +204,13 @@ def _id_lists(key: tuple, block: pa.Table, parts: pa.Table) -> pa.Table:
 def _encoded(docs: DataFrame, tokens: list[bytes], pattern: str, id_col: str, text_col: str, finish: Callable, schema: str) -> DataFrame:
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(tokens)
-    parts = shuffle_partitions(spark)
+    parts = parts_for(docs, text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    lists = texts.mapInArrow(_word_lists(pattern, parts), "part int, block long, words array<binary>")
-    coded = lists.groupBy("part").applyInArrow(_encode_words(held, pattern), "block long, part int, n long, total long, lens binary, ids binary")
-    blocks = texts.mapInArrow(_coded_blocks(pattern, parts), "block long, ids array<long>, lengths array<int>, codes binary, n_words long")
-    return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(finish(held) if finish is _digests else finish, schema)
+    with arrow_rows(spark, ROWS):
+        blocks = bucketed(texts.mapInArrow(_split(pattern, parts), SPLIT), "split", "run", parts)
+    lists = blocks.select("run", "block", F.explode("lists").alias("own")).select("run", "block", "own.*")
+    coded = lists.groupBy("part").applyInArrow(_encode_words(held, pattern), CODED)
+    return blocks.drop("lists").groupBy("run").cogroup(coded.groupBy("run")).applyInArrow(finish(held) if finish is _digests else finish, schema)
 
 
 def encode(docs: DataFrame, tokens: list[bytes], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

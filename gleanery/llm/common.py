@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,6 +117,13 @@ def arrow_rows(spark: SparkSession, rows: int):
         yield
 
 
+def few_rows(batches: Iterator, rows: int) -> Iterator:
+    """Batches cut to at most so many rows, for workers that turn them into Python objects."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
 #: Bytes of text that one group of a packed shuffle stands for at most.
 PART_BYTES = 32 << 20
 
