@@ -3,7 +3,7 @@
 Turns are compared at equal turn numbers, so a conversation never has to be gathered to be compared: one
 shuffle by (pair, turn) puts the two sides of a turn next to each other. The first turn at which the
 sides differ is a minimum per pair. Strings are assembled in two levels (spans of 64 turns, then pairs), so that
-the last step of a very long conversation gathers a row per 64 turns.
+the last step of a very long conversation gathers a row per 64 turns. Masks are running sums of lengths in the same two levels.
 """
 
 from __future__ import annotations
@@ -72,47 +72,36 @@ def preference_pairs(
         "pair_id",
         F.col("p.part").alias("part"),
         F.expr(f"turn div {CHUNK}").alias("chunk"),
-        F.struct(
-            "turn", "dup", F.concat(head, body).alias("text"), F.length(head).alias("head"), F.length(body).alias("body"), (role == trained_role).alias("train")
-        ).alias("bit"),
+        "turn",
+        "dup",
+        F.concat(head, body).alias("text"),
+        F.length(head).cast("long").alias("head"),
+        F.length(body).cast("long").alias("body"),
+        (role == trained_role).alias("train"),
     )
-    chunks = bits.groupBy("pair_id", "part", "chunk").agg(F.sort_array(F.collect_list("bit")).alias("bits"))
-    chunks = chunks.select(
-        "pair_id",
-        "part",
-        F.struct(
-            "chunk",
-            F.array_join(F.transform("bits", lambda b: b.text), "").alias("text"),
-            F.transform("bits", lambda b: F.struct(b.head.alias("head"), b.body.alias("body"), b.train.alias("train"))).alias("marks"),
-        ).alias("piece"),
+    # Running lengths inside a chunk, then over chunks: a mask costs no more than its turns. Each pair of steps shares an exchange.
+    inside = W.partitionBy("pair_id", "part", "chunk").orderBy("turn", "dup").rowsBetween(W.unboundedPreceding, -1)
+    bits = bits.repartition("pair_id", "part", "chunk").withColumn("at", F.coalesce(F.sum(F.col("head") + F.col("body")).over(inside), F.lit(0)))
+    chunks = bits.groupBy("pair_id", "part", "chunk").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "dup", "text"))).alias("bits"),
+        F.sort_array(F.collect_list(F.when(F.col("train"), F.struct((F.col("at") + F.col("head")).alias("start"), (F.col("at") + F.col("head") + F.col("body")).alias("stop"))))).alias("spans"),
+        F.sum(F.col("head") + F.col("body")).alias("length"),
+    )
+    chunks = chunks.select("pair_id", "part", "chunk", F.array_join(F.transform("bits", lambda b: b.text), "").alias("text"), F.size("bits").cast("long").alias("turns"), "spans", "length")
+    before = W.partitionBy("pair_id", "part").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    chunks = chunks.repartition("pair_id").withColumn("at", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    moved = F.transform("spans", lambda s: F.struct((s.start + F.col("at")).cast("int").alias("start"), (s.stop + F.col("at")).cast("int").alias("stop")))
+    pieces = chunks.select("pair_id", "part", "turns", F.struct("chunk", "text", moved.alias("spans")).alias("piece"))
+    three = ("prompt", "chosen", "rejected")
+    whole = pieces.groupBy("pair_id").agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("part") == p, F.col("piece")))).alias(p) for p in three],
+        *[F.coalesce(F.sum(F.when(F.col("part") == p, F.col("turns"))), F.lit(0)).alias(f"{p}_turns") for p in three],
     )
-    whole = chunks.groupBy("pair_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("part") == p, F.col("piece")))).alias(p) for p in ("prompt", "chosen", "rejected")])
-
-    def joined(part: str):
-        return F.array_join(F.transform(part, lambda x: x.text), "")
-
-    def marks(part: str):
-        return F.flatten(F.transform(part, lambda x: x.marks))
-
-    def mask(part: str):
-        span = "array<struct<start:int,stop:int>>"
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("spans"))
-
-        def step(s, m):
-            stop = s.at + m["head"] + m.body
-            one = F.array(F.struct((s.at + m["head"]).cast("int").alias("start"), stop.cast("int").alias("stop")))
-            return F.struct(stop.cast("int").alias("at"), F.when(m.train, F.concat(s.spans, one)).otherwise(s.spans).alias("spans"))
-
-        return F.aggregate(marks(part), start, step, lambda s: s.spans)
-
     return whole.select(
         "pair_id",
-        joined("prompt").alias("prompt"),
-        joined("chosen").alias("chosen"),
-        joined("rejected").alias("rejected"),
-        *[F.size(marks(p)).cast("long").alias(f"{p}_turns") for p in ("prompt", "chosen", "rejected")],
-        mask("chosen").alias("chosen_mask"),
-        mask("rejected").alias("rejected_mask"),
+        *[F.array_join(F.transform(p, lambda x: x.text), "").alias(p) for p in three],
+        *[f"{p}_turns" for p in three],
+        *[F.flatten(F.transform(p, lambda x: x.spans)).alias(f"{p}_mask") for p in ("chosen", "rejected")],
     )
 
 
