@@ -25,31 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialise, text_or_empty
+from .common import WORD_PATTERN, materialise, ordered, running, text_or_empty
 
 BLOCKS = 1 << 14
 SHARDS = 16
 ROWS_PER_GROUP = 4096
 
 
-def running(rows: DataFrame, keys: list[str], sub: str, order: list, **sums) -> DataFrame:
-    """Add what the rows before sum to, in the order of ``sub``, then ``order``: inside ``sub`` row by row, over ``sub`` as a whole."""
-    inner = W.partitionBy(*keys, sub).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    outer = W.partitionBy(*keys).orderBy(sub).rowsBetween(W.unboundedPreceding, -1)
-    totals = rows.groupBy(*keys, sub).agg(*[F.sum(v).alias(f"{c}_all") for c, v in sums.items()])
-    offsets = totals.select(*keys, sub, *[F.sum(f"{c}_all").over(outer).alias(f"{c}_off") for c in sums])
-    # Written, so that its size is known: rows aren't shuffled for a small one.
-    offsets = materialise(offsets, "offsets")
-    rows = rows.select("*", *[F.sum(v).over(inner).alias(c) for c, v in sums.items()]).join(offsets, [*keys, sub])
-    zero = {c: F.lit(0) for c in sums}
-    return rows.withColumns({c: F.coalesce(c, zero[c]) + F.coalesce(f"{c}_off", zero[c]) for c in sums}).drop(*[f"{c}_off" for c in sums])
-
-
-def ordered(rows: DataFrame, *by) -> DataFrame:
-    """Rows written in ranges of an order, with the number of their range as ``chunk``."""
-    return materialise(rows.repartitionByRange(*by).withColumn("chunk", F.spark_partition_id()), "ordered")
-
-
 def source_targets(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """``skey, source_size, n, rank, total, target`` from rows of ``skey, size`` (and ``copies``): one row per source."""
     copies = F.col("copies") if "copies" in rows.columns else F.lit(1)

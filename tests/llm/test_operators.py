@@ -59,6 +59,21 @@ def test_chat_of_many_chunks_keeps_order(spark):
     assert r["prompt"] == "".join(f"<|user|>\n{t}<|end|>\n" for t in range(300)) and r["chosen"] == ""
 
 
+def test_chat_of_very_many_turns_is_linear(spark):
+    """64,000 turns of one conversation, numbered or all under one number: masks and texts agree, in seconds."""
+    import time
+
+    for number in (F.col("id"), F.lit(None).cast("long")):
+        turn = spark.range(64_000).select(F.lit(1).alias("pair_id"), number.alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.format_string("%06d", "id").alias("text"))
+        both = turn.withColumn("is_chosen", F.lit(True)).unionByName(turn.withColumn("is_chosen", F.lit(False)).where("text > '000000'"))
+        start = time.perf_counter()
+        r = chat.preference_pairs(both).first()
+        assert time.perf_counter() - start < 6
+        assert (r["prompt_turns"], r["chosen_turns"], r["rejected_turns"]) in {(0, 64_000, 63_999), (32_000, 32_000, 31_999)}
+        spans = [r["chosen"][a:b] for a, b in r["chosen_mask"]]
+        assert all(s.endswith("<|end|>\n") and s[:6].isdigit() and int(s[:6]) % 2 for s in spans) and len(spans) == r["chosen"].count("<|assistant|>")
+
+
 # 2 byte-level BPE -------------------------------------------------------------------------------------------------------
 
 
@@ -306,8 +321,8 @@ def test_shards_are_shuffled_and_written(spark, tmp_path):
     got = done.select("record.doc_id", "shard", "slot").toPandas().sort_values(["shard", "slot"])
     assert abs(np.corrcoef(got["doc_id"], np.arange(2000))[0, 1]) < 0.1
     sharding.write_shards(done, str(tmp_path / "s"))
-    back = spark.read.parquet(str(tmp_path / "s" / "shard=2"))
-    assert [r["doc_id"] for r in back.collect()] == got[got["shard"] == 2]["doc_id"].tolist()
+    back = sharding.read_shards(spark, str(tmp_path / "s"), rows.schema).where("shard = 2").orderBy("slot")
+    assert [r["doc_id"] for r in back.select("record.doc_id").collect()] == got[got["shard"] == 2]["doc_id"].tolist()
 
 
 # 8 HTML extraction ------------------------------------------------------------------------------------------------------
