@@ -79,17 +79,18 @@ def preference_pairs(
         F.length(body).cast("long").alias("body"),
         (role == trained_role).alias("train"),
     )
-    # Running lengths inside a chunk, then over chunks: a mask costs no more than its turns. Each pair of steps shares an exchange.
+    # Running lengths inside a chunk, then over chunks: a mask costs no more than its turns. Windows and groups of a step share their exchange.
     inside = W.partitionBy("pair_id", "part", "chunk").orderBy("turn", "dup").rowsBetween(W.unboundedPreceding, -1)
-    bits = bits.repartition("pair_id", "part", "chunk").withColumn("at", F.coalesce(F.sum(F.col("head") + F.col("body")).over(inside), F.lit(0)))
+    bits = bits.withColumn("at", F.coalesce(F.sum(F.col("head") + F.col("body")).over(inside), F.lit(0)))
     chunks = bits.groupBy("pair_id", "part", "chunk").agg(
         F.sort_array(F.collect_list(F.struct("turn", "dup", "text"))).alias("bits"),
         F.sort_array(F.collect_list(F.when(F.col("train"), F.struct((F.col("at") + F.col("head")).alias("start"), (F.col("at") + F.col("head") + F.col("body")).alias("stop"))))).alias("spans"),
         F.sum(F.col("head") + F.col("body")).alias("length"),
     )
     chunks = chunks.select("pair_id", "part", "chunk", F.array_join(F.transform("bits", lambda b: b.text), "").alias("text"), F.size("bits").cast("long").alias("turns"), "spans", "length")
-    before = W.partitionBy("pair_id", "part").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    chunks = chunks.repartition("pair_id").withColumn("at", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    before = W.partitionBy("pair_id").orderBy("part", "chunk").rowsBetween(W.unboundedPreceding, -1)
+    earlier = [F.when(F.col("part") == p, F.sum(F.when(F.col("part") == p, F.col("length"))).over(before)) for p in ("chosen", "rejected")]
+    chunks = chunks.withColumn("at", F.coalesce(*earlier, F.lit(0)))
     moved = F.transform("spans", lambda s: F.struct((s.start + F.col("at")).cast("int").alias("start"), (s.stop + F.col("at")).cast("int").alias("stop")))
     pieces = chunks.select("pair_id", "part", "turns", F.struct("chunk", "text", moved.alias("spans")).alias("piece"))
     three = ("prompt", "chosen", "rejected")
