@@ -6,7 +6,8 @@ their spread are content, and runs of them are clusters. Every article and main
 those hold less than nearly all content, the smallest element that does is one as well. A main element around articles
 gives, besides them, its own lines from the first to the last content line. Lines of regions stay, in page order, short ones between
 clusters included, apart from those that are mostly link text with a ratio below the threshold and those in elements that are
-boilerplate by tag, role or name.
+boilerplate by tag, role or name. A name that only contains a telling word ("search-trees") decides nothing inside a region: lines of
+such an element stay if the cluster says so. Work is linear in the page, however deep its markup is nested.
 """
 
 from __future__ import annotations
@@ -20,16 +21,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import few_rows
+
 # Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr img".split())
-DROPPED = set("script style noscript template nav footer aside form button select option textarea iframe object embed svg math canvas audio video head title menu dialog fieldset".split())
+INLINE = set(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr img "
+    "math semantics mrow mi mn mo ms mtext mspace mstyle mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mfenced mpadded mphantom".split()
+)
+DROPPED = set("script style noscript template nav footer aside form button select option textarea iframe object embed svg annotation annotation-xml canvas audio video head title menu dialog fieldset".split())
 NAMED = set(
     "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs "
     "footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login search social share sharing related recommended "
     "comment comments disqus respond replies reply discussion pagination pager skip".split()
 )
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+#: What stands beside a telling word in names of boilerplate: such a name is as good as the word alone.
+BESIDE = set(
+    "area bar block body bottom box btn button card center col column container content count cta desktop field fixed footer form global group head header heading holder icon inline inner input item items "
+    "l label layer left link links list main message mobile module new next nested nav note outer page panel placeholder policy popup post posts prev primary reader readers region right row secondary section "
+    "side single site slot small static sticky story summary tag target teaser text thread title toggle top unit user users view widget wide wrap wrapper zone".split()
+)
 OF_ARTICLE = set("article post entry content story main page body".split())
 KEPT = {"html", "body", "article", "main"}
 REGIONS = {"article", "main"}
@@ -39,16 +51,22 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+ROWS = 128  # pages that a worker holds as text at a time
 SIGMA, SPREAD, NEARLY, LINKED = 1.5, 0.5, 0.8, 0.5
 
 
 class Lines(HTMLParser):
-    """Folds events into lines; elements are numbered as they open, so a parent's number is below its children's."""
+    """Folds events into lines; elements are numbered as they open, so a parent's number is below its children's.
+
+    Open elements are found by their tag's depths, not by walking up.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.parent, self.tag, self.dropped, self.link = [-1], [""], [False], [False]
+        self.parent, self.tag, self.dropped, self.link, self.region, self.doubtful = [-1], [""], [False], [False], [False], [False]
         self.stack = [0]
+        self.depths: dict[str, list[int]] = {}  # of each tag's open elements
+        self.blocks: list[int] = []  # depths of open elements that an inline end tag doesn't reach across
         self.lines: list[tuple[str, int, int, bool, int]] = []  # text, tags, element, dropped, characters in links
         self.bits: list[str] = []
         self.tags = 0
@@ -63,27 +81,35 @@ class Lines(HTMLParser):
         self.bits = []
         self.linked = 0
 
-    def _named(self, tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
+    def _named(self, tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> tuple[bool, bool]:
+        """If the element is boilerplate by tag, role or name, and if its name makes that likely only."""
         if tag in DROPPED:
-            return True
+            return True, False
         if tag == "header" and not inside:
-            return True
+            return True, False
         if tag in KEPT:
-            return False
+            return False, False
+        likely = False
         for key, value in attrs:
             if key == "hidden" or key == "aria-hidden" and value == "true":
-                return True
+                return True, False
             if not value:
                 continue
             if key == "role" and value.lower() in ROLES:
-                return True
+                return True, False
             if key in ("class", "id"):
+                for name in value.split():
+                    words = {w.lower() for w in _NAME.findall(name)}
+                    if words & NAMED:
+                        if not inside or all(w in NAMED or w in BESIDE or w.isdigit() for w in words):
+                            return True, False
+                        likely = True
                 words = {w.lower() for w in _NAME.findall(value)}
-                if words & NAMED or "header" in words and not inside and not words & OF_ARTICLE:
-                    return True
+                if "header" in words and not inside and not words & OF_ARTICLE:
+                    return True, False
             if key == "style" and "display:none" in value.replace(" ", "").lower():
-                return True
-        return False
+                return True, False
+        return False, likely
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -102,28 +128,41 @@ class Lines(HTMLParser):
             self.handle_endtag("a")
             self.tags -= 1
         top = self.stack[-1]
-        inside = any(self.tag[e] in REGIONS for e in self.stack)
+        gone, likely = self._named(tag, attrs, self.region[top])
         self.parent.append(top)
         self.tag.append(tag)
-        self.dropped.append(self.dropped[top] or self._named(tag, attrs, inside))
+        self.dropped.append(self.dropped[top] or gone)
+        self.doubtful.append(self.doubtful[top] or likely)
+        self.region.append(self.region[top] or tag in REGIONS)
         self.link.append(self.link[top] or tag == "a" and any(k == "href" for k, _ in attrs))
         self._enter(len(self.tag) - 1)
 
     def _enter(self, element: int) -> None:
         if self.dropped[element] != self.dropped[self.stack[-1]]:
             self.flush()
+        tag = self.tag[element]
+        self.depths.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE and tag != "p":
+            self.blocks.append(len(self.stack))
         self.stack.append(element)
         if not self.bits:
             self.where = element
 
+    def _leave(self, depth: int) -> None:
+        for element in self.stack[depth:]:
+            self.depths[self.tag[element]].pop()
+        del self.stack[depth:]
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
+
+    def _open(self, tags) -> int:
+        """Depth of the innermost open element of these tags; 0 if there is none."""
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
     def _close(self, names: set[str], stops: set[str]) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            tag = self.tag[self.stack[depth]]
-            if tag in names:
-                del self.stack[depth:]
-                return
-            if tag in stops:
-                return
+        depth = self._open(names)
+        if depth > self._open(stops):
+            self._leave(depth)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -136,15 +175,12 @@ class Lines(HTMLParser):
             return
         if tag not in INLINE:
             self.flush()
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.tag[self.stack[depth]] == tag:
-                if self.dropped[self.stack[depth]] != self.dropped[self.stack[depth - 1]]:
-                    self.flush()
-                del self.stack[depth:]
-                return
-            # An inline end tag without its start in this block closes nothing outside it.
-            if tag in INLINE and self.tag[self.stack[depth]] not in INLINE and self.tag[self.stack[depth]] != "p":
-                return
+        depth = self._open((tag,))
+        # An inline end tag without its start in this block closes nothing outside it.
+        if depth and (tag not in INLINE or depth > (self.blocks[-1] if self.blocks else 0)):
+            if self.dropped[self.stack[depth]] != self.dropped[self.stack[depth - 1]]:
+                self.flush()
+            self._leave(depth)
 
     def handle_data(self, data: str) -> None:
         # Markup that the parser could not end is not text.
@@ -222,6 +258,8 @@ def main_text(html: str | None) -> str:
     for n, (_, _, where, _, linked) in enumerate(kept):
         if linked > LINKED * sizes[n] and ratio[n] < level and not heading[where]:
             stay[n] = False
+        if page.doubtful[where] and not (content[n] and linked <= LINKED * sizes[n]):
+            stay[n] = False
     return " ".join(x[0] for x, good in zip(kept, stay, strict=True) if good)
 
 
@@ -235,7 +273,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Add ``text`` to ``page_id, url``: one row per input row, in any multiplicity; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches, ROWS):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([main_text(h) for h in b.column(2).to_pylist()], pa.string())], ["page_id", "url", "text"])
 
     picked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

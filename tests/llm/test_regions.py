@@ -43,3 +43,47 @@ def test_regions(page, want):
         assert main_text(page).startswith(want)
     else:
         assert main_text(page) == want
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # A name that only holds a telling word is left to the cluster; a name of nothing else is boilerplate, prose or not.
+        (f"<article>{paras(0)}<div class='search-trees'>{paras(1)}</div>{paras(2)}</article>", text(0, 1, 2)),
+        (f"<article>{paras(0)}<section id='notices-of-intent'>{paras(1)}</section>{paras(2)}</article>", text(0, 1, 2)),
+        (f"<article>{paras(0, 1)}<div class='search-box'>{paras(2)}</div><div class='ad-slot-3'>{paras(3)}</div><div id='comments'>{paras(4)}</div></article>", text(0, 1)),
+        (f"<article>{paras(0, 1)}<div class='related-reading-mountains'><a href='/1'>One other page</a> <a href='/2'>Two</a></div></article>", text(0, 1)),
+        # Outside of a region a telling word is enough.
+        (f"<body><div class='search-trees'>{paras(5)}</div><article>{paras(0, 1)}</article></body>", text(0, 1)),
+        # Formulas are text; their sources aren't.
+        (f"<article><p>Area is <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='t'>x=2</annotation></semantics></math> ok. {LONG[0]}</p></article>", f"Area is x=2 ok. {LONG[0]}"),
+        # End tags without a start, across blocks.
+        (f"<article><b><p>{LONG[0]}</b></i></span></p><p>{LONG[1]}</p></article></div>", text(0, 1)),
+    ],
+)
+def test_names_and_formulas(page, want):
+    assert main_text(page) == want
+
+
+def test_work_is_linear_in_depth():
+    import time
+
+    def seconds(depth):
+        pages = [f"<article>{f'<{tag}>' * depth}<p>{LONG[0]}{'</i>' * depth}{'</q></table>' * depth}{f'</{tag}>' * depth}</article>" for tag in ("div", "b", "li", "a")]
+        start = time.perf_counter()
+        assert all(main_text(p) == LONG[0] for p in pages)
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(32_000) < 40 * max(0.05, seconds(4000))
+
+
+def test_every_line_of_a_region_is_weighed_against_brute_force(spark):
+    """Pages of the table against their article with markup taken off by hand, for every page."""
+    import html
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    for r in pages:
+        inner = re.sub(r"<(/?(p|h1)|br)>", " ", re.search(r"<article>(.*?)</article>", r["html"], re.S).group(1))
+        assert main_text(r["html"]) == " ".join(html.unescape(re.sub(r"<[^>]*>", "", inner)).split())
