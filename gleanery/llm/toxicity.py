@@ -1,11 +1,13 @@
 """Toxicity by a support vector machine over a gapped-subsequence string kernel with Nyström landmarks.
 
-Units are the words of a text (long ones cut into overlapping windows, runs of single letters joined). The kernel of two units
-is the inner product of their subsequences of three and four characters, each occurrence weighted by decay to the
-power of its span, so letters inserted into a word or left out of it cost little. Training sentences
-of labelled documents give each unit two weights: in how many toxic and in how many clean sentences it occurs. Neutral words
-occur in both in the proportion of the corpus; a squared-hinge machine over Nyström features of some landmarks
-learns what only toxic sentences share, including word families of which it has seen few members.
+A sentence is seen through windows (units): its words, long ones cut into overlapping windows, runs of single letters joined. The kernel of two
+windows is the inner product of their subsequences of three and four characters, each occurrence weighted by decay to the
+power of its span, so letters inserted into a word or left out of it cost little. Training rows are windows of labelled
+sentences, and the machine itself says which: a sentence's score is that of its highest window, so of a toxic document those sentences'
+highest windows are positive that the machine scores positive (or comes near to), and of clean documents every sentence's highest window within
+the margin is negative, besides frequent ones. A squared-hinge machine over Nyström features is fitted, windows are chosen anew by its scores, and so
+on for some rounds. For the first round, and for choosing landmarks, windows are weighed by how far the share of toxic
+sentences that hold their runs of characters exceeds that of all sentences.
 
 As the kernel is an explicit inner product, the machine folds into one vector of weights over hashed
 subsequences; a unit's score is a sum over its own subsequences, in time linear in its length. A document's
@@ -19,19 +21,22 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import few_rows, materialise, shuffle_partitions
 from .labelled import held_out, read, training_rows
 
 SPAN, DECAY, BITS = 6, 0.7, 20
 LONG, WINDOW = 40, 24
 POSITIVES, NEGATIVES, UNITS = 3000, 5000, 60_000
 LANDMARKS = 240
-PENALTY = 0.1
+PENALTY = 1.0
+NEAR = -0.5  # score that a toxic document's best window needs to speak for it
+ROUNDS = 2  # of choosing the windows that speak for sentences by the machine itself
 PRIOR, TELLING, ALIKE = 1.0, 1.5, 0.8  # smoothing of evidence, least evidence of a toxic unit, kernel of too similar landmarks
 CACHE = 300_000
 ROWS, WORDS = 512, 4096  # documents and words handled at a time by a worker
@@ -133,18 +138,24 @@ class SubsequenceMachine:
         return float(1 / (1 + np.exp(-np.clip(self.features(scores) @ self.link, -30, 30))))
 
 
-def _squared_hinge(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, penalty: float, rounds: int = 30) -> np.ndarray:
-    """Newton's method on weighted squared hinge losses of both labels."""
-    w = np.zeros(x.shape[1])
+def _squared_hinge(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, penalty: float, start: np.ndarray | None = None, rounds: int = 30) -> np.ndarray:
+    """Newton's method on weighted squared hinge losses of both labels; only rows within the margin enter a step."""
+    w = np.zeros(x.shape[1]) if start is None else start.copy()
     eye = penalty * np.eye(x.shape[1])
     eye[-1, -1] = 1e-6
     for _ in range(rounds):
-        f = x @ w
+        f = x @ w.astype(np.float32)
         up, down = positive * (f < 1), negative * (f > -1)
-        grad = x.T @ (up * (f - 1) + down * (f + 1)) + eye @ w
-        step = np.linalg.solve(sum(x[at : at + WORDS].T.astype(float) @ (x[at : at + WORDS] * (up + down)[at : at + WORDS, None]) for at in range(0, len(x), WORDS)) + eye, grad)
+        near = np.flatnonzero(up + down)
+        pull, weight = (up * (f - 1) + down * (f + 1))[near], (up + down)[near]
+        grad, curve = eye @ w, eye.copy()
+        for at in range(0, len(near), WORDS):
+            some = x[near[at : at + WORDS]].astype(float)
+            grad += some.T @ pull[at : at + WORDS]
+            curve += some.T @ (some * weight[at : at + WORDS, None])
+        step = np.linalg.solve(curve, grad)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4 * max(1.0, np.abs(w).max()):
             break
     return w
 
@@ -191,13 +202,47 @@ def _evidence(table: DataFrame) -> tuple[np.ndarray, float]:
     return np.log((total[0] + PRIOR) / (10 * share * total[1] + PRIOR)).astype(np.float32), share
 
 
-def fit(training: DataFrame, landmarks: int = LANDMARKS, max_units: int = UNITS) -> SubsequenceMachine:
+def _witnesses(training: DataFrame, machine: SubsequenceMachine, bound: int) -> pd.DataFrame:
+    """Windows that decide about labelled sentences: ``unit, bad, good``, in how many toxic and clean documents, at most ``bound`` of each.
+
+    Of a toxic document's sentences each one with a positive window speaks for it, without any the one that comes nearest, if it comes
+    near; of clean documents every sentence whose highest window comes within the margin.
+    """
+    held = training.sparkSession.sparkContext.broadcast(machine)
+
+    def spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held.value
+        for b in few_rows(batches, ROWS):
+            out: tuple[list, list] = ([], [])
+            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sentences = [[w.strip(_TRIM) or w for w in units(x)] for x in _SENTENCE.split(text)]
+                flat = [w for x in sentences for w in x]
+                if not flat:
+                    continue
+                score = own.score_units(flat)
+                ends = np.cumsum([len(x) for x in sentences])
+                best = [a + int(np.argmax(score[a:b])) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True) if a < b]
+                least = max(NEAR, min(0.0, float(score.max()))) if label else -1.0
+                for word in {flat[i] for i in best if score[i] >= least}:
+                    out[0].append(word)
+                    out[1].append(label)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32())], ["unit", "label"])
+
+    seen = training.select("text", "label").mapInArrow(spoken, "unit string, label int")
+    counts = seen.groupBy("unit").agg(F.sum("label").cast("double").alias("bad"), F.sum(1 - F.col("label")).cast("double").alias("good"))
+    counts = materialise(counts, "witnesses")
+    return pd.concat([counts.orderBy(F.desc(c), "unit").limit(bound).toPandas() for c in ("bad", "good")]).drop_duplicates("unit")
+
+
+def fit(training: DataFrame, landmarks: int = LANDMARKS, max_units: int = UNITS, rounds: int = ROUNDS) -> SubsequenceMachine:
     """Fit on a bounded set of labelled texts (``text, label``).
 
-    Which units of toxic sentences are toxic is not labelled: a unit counts as toxic if its subsequences occur in toxic
-    sentences far beyond their share, counted over the whole sample. ``max_units`` bounds the units that reach the
-    driver: the telling ones first, then the rest in hash order. Without rows of both labels, every document gets the share of label 1 (0.5 of none).
+    Which windows of toxic sentences are toxic is not labelled. The first round takes those whose runs of characters occur in toxic
+    sentences far beyond their share, counted over the whole sample; ``rounds`` more take those that the machine scores highest. ``max_units`` bounds
+    the windows that reach the driver: the telling ones first, then the rest in hash order. Without rows of both labels, every document gets the share of label 1 (0.5 of none).
     """
+    # The sample is bounded and read several times: written once, spread over tasks.
+    training = materialise(training.select("doc_id", "text", "label").repartition(shuffle_partitions(training.sparkSession)), "training")
     counts = {r["label"]: r["count"] for r in training.groupBy("label").count().collect()}
     if len(counts) < 2:
         p = 0.5 if not counts else min(max(float(next(iter(counts))), 0.01), 0.99)
@@ -262,13 +307,37 @@ def fit(training: DataFrame, landmarks: int = LANDMARKS, max_units: int = UNITS)
     words += [w for _, w in garbled]
     bad = np.concatenate([bad, [bad[i] for i, _ in garbled]])
     good = np.concatenate([good, [good[i] for i, _ in garbled]])
-    x = np.concatenate([gram(words, chosen) @ whiten.astype(np.float32), np.ones((len(words), 1), np.float32)], 1)
+    def features(some: list[str]) -> np.ndarray:
+        return np.concatenate([gram(some, chosen) @ whiten.astype(np.float32), np.ones((len(some), 1), np.float32)], 1)
+
+    def folded(w: np.ndarray) -> SubsequenceMachine:
+        sums = np.zeros(1 << BITS)
+        for word, a in zip(chosen, whiten @ w[:-1], strict=True):
+            _, h, v = subsequences([word])
+            np.add.at(sums, h, a * v)
+        return SubsequenceMachine(sums.astype(np.float32), float(w[-1]), np.array([0.0, 1, 0, 0]))
+
+    x = features(words)
     w = _squared_hinge(x, bad, good, PENALTY)
-    folded = np.zeros(1 << BITS)
-    for word, a in zip(chosen, whiten @ w[:-1], strict=True):
-        _, h, v = subsequences([word])
-        np.add.at(folded, h, a * v)
-    machine = SubsequenceMachine(folded.astype(np.float32), float(w[-1]), np.array([0.0, 1, 0, 0]))
+    machine = folded(w)
+    for _ in range(rounds):
+        # The windows that speak for a sentence are those that the machine itself scores highest.
+        spoke = _witnesses(training, machine, max_units // 4)
+        at = {word: i for i, word in enumerate(words)}
+        fresh = [word for word in spoke["unit"] if word not in at]
+        at.update((word, len(words) + i) for i, word in enumerate(fresh))
+        words += fresh
+        good = np.concatenate([good, np.zeros(len(fresh))])
+        bad = np.zeros(len(words))
+        place = [at[word] for word in spoke["unit"]]
+        np.add.at(bad, place, spoke["bad"].to_numpy(float))
+        good[place] = np.maximum(good[place], spoke["good"].to_numpy(float))
+        for i, word in garbled:
+            bad[at[word]] = max(bad[at[word]], bad[i])
+        if fresh:
+            x = np.concatenate([x, features(fresh)])
+        w = _squared_hinge(x, bad, good, PENALTY, w)
+        machine = folded(w)
     found = score_texts(training.select("doc_id", "text", "label"), machine, features=True, keep=("label",)).toPandas()
     machine.link = _logistic(np.stack(found["features"].map(np.asarray)), found["label"].to_numpy(float))
     return machine
@@ -311,9 +380,12 @@ def score_texts(docs: DataFrame, machine: SubsequenceMachine, id_col: str = "doc
 
 
 def with_scores(rows: DataFrame, machine: SubsequenceMachine, text_col: str = "text") -> DataFrame:
-    """All columns of ``rows`` and ``score``, in one pass and without a join. ``rows`` must have no column ``score``."""
+    """All columns of ``rows`` and, last, ``score``, in one pass and without a join. If ``rows`` has such a column, underscores follow the name."""
     held = rows.sparkSession.sparkContext.broadcast(machine)
-    at_text, names = rows.columns.index(text_col), [*rows.columns, "score"]
+    name = "score"
+    while name in {c.lower() for c in rows.columns}:
+        name += "_"
+    at_text, names = rows.columns.index(text_col), [*rows.columns, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _Scorer(held.value)
@@ -321,7 +393,7 @@ def with_scores(rows: DataFrame, machine: SubsequenceMachine, text_col: str = "t
             found = pa.array([held.value.probability(s) for s in score(b.column(at_text).to_pylist())], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, found], names)
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> SubsequenceMachine:

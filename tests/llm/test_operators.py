@@ -153,6 +153,34 @@ def test_kernel_tolerates_gaps_and_insertions():
     assert np.linalg.eigvalsh(square).min() > -1e-6
 
 
+def test_scores_are_kernel_sums_over_landmarks():
+    """The folded machine against kernel values by brute force: subsequences enumerated one by one."""
+    from itertools import combinations
+
+    def vector(word):
+        out, text = {}, "\x02" + word + "\x03"
+        for n in (3, 4):
+            for at in combinations(range(len(text)), n):
+                if at[-1] - at[0] < toxicity.SPAN:
+                    key = "".join(text[i] for i in at)
+                    out[key] = out.get(key, 0) + toxicity.DECAY ** (at[-1] - at[0] + 1 - n)
+        return out
+
+    def length(word):  # of all occurrences, as the operator takes it
+        text = "\x02" + word + "\x03"
+        return np.sqrt(sum(toxicity.DECAY ** (2 * (at[-1] - at[0] + 1 - n)) for n in (3, 4) for at in combinations(range(len(text)), n) if at[-1] - at[0] < toxicity.SPAN))
+
+    words, marks, weight = ["idiot", "id.iot", "achlichkeit", "the"], ["idiot", "achlich", "moron"], np.array([2.0, -1.0, 0.5])
+    want = [[sum(x * vector(m).get(k, 0) for k, x in vector(w).items()) / length(w) / length(m) for m in marks] for w in words]
+    assert np.allclose(toxicity.gram(words, marks), want, atol=1e-5)
+    sums = np.zeros(1 << toxicity.BITS)
+    for m, a in zip(marks, weight, strict=True):
+        _, h, v = toxicity.subsequences([m])
+        np.add.at(sums, h, a * v)
+    machine = toxicity.SubsequenceMachine(sums.astype(np.float32), 0.25, np.array([0.0, 1, 0, 0]))
+    assert np.allclose(machine.score_units(words), np.array(want) @ weight + 0.25, atol=1e-4)
+
+
 def test_toxicity_learns_gapped_words(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
@@ -171,7 +199,7 @@ def test_classifiers_take_awkward_rows_and_empty_labels(spark, awkward, empty):
         for scored in (toxicity.score_texts(awkward, machine), quality.score_texts(awkward, factors)):
             assert [0 <= r["score"] <= 1 for r in scored.collect()] == [True] * awkward.count()
     assert toxicity.score_texts(empty, machine).count() == quality.score_texts(empty, factors).count() == 0
-    assert toxicity.with_scores(awkward.drop("score"), machine).columns[-1] == "score"
+    assert toxicity.with_scores(awkward.drop("score"), machine).columns[-1] == "score" and toxicity.with_scores(awkward, machine).columns[-1] == "score_"
 
 
 def test_factorisation_identity():
