@@ -100,8 +100,8 @@ def gram(a: list[str], b: list[str]) -> np.ndarray:
     where = np.full(1 << BITS, len(used), np.int32)
     where[used] = np.arange(len(used), dtype=np.int32)
     out = np.zeros((len(a), len(b)), np.float32)
-    for at in range(0, len(a), WORDS // 8):
-        r, h, w = subsequences(a[at : at + WORDS // 8])
+    for at in range(0, len(a), WORDS // 16):
+        r, h, w = subsequences(a[at : at + WORDS // 16])
         hit = where[h] < len(used)
         r, h, w = r[hit], where[h[hit]], w[hit]
         order = np.argsort(r, kind="stable")
@@ -211,15 +211,19 @@ def _witnesses(training: DataFrame, machine: SubsequenceMachine, bound: int) ->
     held = training.sparkSession.sparkContext.broadcast(machine)
 
     def spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
+        own, memo = held.value, {}
         for b in few_rows(batches, ROWS):
+            if len(memo) > CACHE:
+                memo.clear()
             out: tuple[list, list] = ([], [])
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 sentences = [[w.strip(_TRIM) or w for w in units(x)] for x in _SENTENCE.split(text)]
                 flat = [w for x in sentences for w in x]
                 if not flat:
                     continue
-                score = own.score_units(flat)
+                new = list(set(flat) - memo.keys())
+                memo.update(zip(new, own.score_units(new).tolist(), strict=True))
+                score = np.fromiter(map(memo.__getitem__, flat), float, len(flat))
                 ends = np.cumsum([len(x) for x in sentences])
                 best = [a + int(np.argmax(score[a:b])) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True) if a < b]
                 least = max(NEAR, min(0.0, float(score.max()))) if label else -1.0
