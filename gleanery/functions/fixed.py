@@ -89,6 +89,10 @@ NORWEGIAN_PHONE = r"(?:\+47[\s\-]?)?\d{2}[\s\-]?\d{2}[\s\-]?\d{2}[\s\-]?\d{2}\b"
 PAGE_EMAIL_JUNK = r"noreply|no-reply|example\.com"
 MINER_EMAIL_JUNK = r"@(sentry\.io|noreply|no-reply|example\.com|donotreply|mailer-daemon|localhost|test\.|dev\.|finn\.no|nav\.no|jobsense\.io|jobbnorge\.no)"
 RECRUITING = r"jobs?|career|talent|recruit|hr|hiring|people"
+CONTACT_TITLE = r"(Recruiter|Talent\s+(?:Acquisition|Partner|Manager|Lead)|HR(?:[-\s]Manager| Business Partner| Generalist)?|People\s+(?:Partner|Operations|Manager)|Hiring\s+Manager|Sourcer)"
+CONTACT_NAME = r"([A-ZÄÖÜ][a-zäöüß]+(?:[\s-][A-ZÄÖÜ][a-zäöüß]+){1,3})"
+HONORIFIC = r"(Frau|Herr|Mr\.?|Mrs\.?|Ms\.?|Dr\.?|Madame|Monsieur|Mme|Sig\.?|Sra?\.?)"
+ROLE_END = r"(?:\+?\d[\d\s\-]{6,}|Kopier|telefon:|tel:|mob:|email|e-post|@|$)"
 DATE_LIKE = r"^\d{1,4}[./\-]\d{1,4}[./\-]\d{2,4}$"
 PHONE_SEQUENCES = ("1234567", "12345678", "123456789", "12345678901")
 
@@ -155,3 +159,57 @@ ROLES = (
     "leder|sjef|direktør|direktor|seksjonssjef|avdelingsleder|konsulent|spesialist|senioringeniør|ingeniør|rådgiver|manager|partner|head|chief|owner|coordinator|recruiter|talent|hr|"
     "sykepleier|lege|teamleder|prosjektleder|sjefen|medarbeider|representant|developer|engineer|architect|founder|cto|ceo|cmo|cfo|coo|cio"
 )
+
+# Path parts that make a group of links telling.
+CLUSTER_HINT = r"(job|stilling|vacanc|career|posting|opening|ad|opportunit|trabajo)"
+
+# An employer named at the start of a description, and beginnings that are none.
+EMPLOYER = (
+    r"(?:Om stillingen|About the position)\s+([A-ZÆØÅ][A-Za-zÆØÅæøåäöü0-9 .,&\-]{2,80}?)"
+    r"(?=\s+(?:Vil|Har|Vi|Er|We|Are|er|har|vi|Beskrivelse|Description|søker|ønsker))"
+)
+EMPLOYER_REJECT = r"^(Stillingen|The position|Beskrivelse|Description|Om|About|Vi|We|Du|You|Søknad|Søker|Application|This is just|Tasks|Oppgaver)\b"
+
+# Fixed values: (label, field, form of the value) of labels in running text; the first that fits fills a field.
+INLINE_LABELS = (
+    ("Søknadsfrist", "valid_through", r"(\d{1,2}\.\d{1,2}\.\d{2,4}|\d{4}-\d{2}-\d{2}|snarest|løpende|fortløpende|umiddelbart)"),
+    ("Frist", "valid_through", r"(\d{1,2}\.\d{1,2}\.\d{2,4}|\d{4}-\d{2}-\d{2})"),
+    ("Publisert", "posted_date", r"(\d{1,2}\.\s*\w+\s*\d{4}|\d{1,2}\.\d{1,2}\.\d{2,4}|\d{4}-\d{2}-\d{2})"),
+    ("Stillingsprosent", "employment_type", r"(\d{1,3}\s?%\s*(?:fast|midlertidig|vikariat)?[\w\s]{0,30})"),
+    ("Ansettelsesform", "employment_type", r"([A-ZÆØÅa-zæøå][^,\n]{2,50})"),
+    ("Tiltreder", "start_date", r"([A-ZÆØÅa-zæøå0-9][^\n]{2,50})"),
+    ("Oppstart", "start_date", r"([A-ZÆØÅa-zæøå0-9][^\n]{2,50})"),
+    ("Arbeidsspråk", "language", r"([A-ZÆØÅa-zæøå][^,\n]{2,50})"),
+    ("Stillingsfunksjon", "department", r"([A-ZÆØÅa-zæøå][^\n]{3,80})"),
+    ("Yrke", "department", r"([A-ZÆØÅa-zæøå][^\n]{3,80})"),
+    ("Fagområde", "department", r"([A-ZÆØÅa-zæøå][^\n]{3,80})"),
+    ("Reisemengde", "travel_required", r"([A-ZÆØÅa-zæøå0-9][^\n]{2,80})"),
+    ("Referansenr\\.?", "requisition_id", r"([A-Za-z0-9_\-]{3,40})"),
+)
+LABEL_ALONE = (
+    r"^(?:Stillingstype|Heltid|Deltid|Sektor|Bransje|Arbeidsspr(å|a)k|Antall\s+stillinger|Stillingsbr(ø|o)k|Publisert|S(ø|o)knadsfrist|Frist|Stillingsprosent|Ansettelsesform|"
+    r"Tiltreder|Oppstart|Sted|Beliggenhet|Reisemengde|Hjemmekontor|Kontaktperson|Arbeidssted|Arbeidstid|Arbeidsgiver|Stillingsfunksjon|Yrke|Fagomr(å|a)de|Referansenr|Referanse|Sektor|Stilling$)$"
+)
+
+# Names that are no company's, and the elements that name one or a deadline on fact-card pages, in order.
+NO_COMPANY = r"(arbeidsgiverguiden|m.t attraktive|partnere|annonsere|nyheter|relaterte|kontaktperson|instagram|facebook|linkedin|twitter|youtube|tiktok|profil)"
+DEADLINE = r"^\d{2}\.\d{2}\.\d{2,4}$"
+
+# Lists of links: titles and paths of jobs, hosts and pages where any title counts.
+LIST_TITLE = (
+    r"(software|engineer|developer|data|ai|ml|cloud|devops|backend|frontend|fullstack|stack|architect|scientist|analyst|sre|platform|security|product|qa|sdet|mobile|android|ios|principal|staff|lead|director|head|"
+    r"consultant|specialist|manager|intern|trainee|designer|coordinator|associate|executive|officer|researcher|administrator|recruiter|hr|operations|delivery|solution)"
+)
+LIST_PATH = r"/(jobs?|vacanc|career|stellen|joboffer|positions?|opening|view|posting|job-listing|apply|jobpreview|rc/clk)"
+AGGREGATORS = (
+    r"jobrapido|indeed|glassdoor|monster|simplyhired|ziprecruiter|linkedin.*/jobs|naukri|reed\.co\.uk|seek\.com|stepstone|totaljobs|cwjobs|jobsite|jobs\.ch|jobup\.ch|jobscout24|kalaydo|stellenanzeigen|adecco|jobs\.de|"
+    r"xing\.com/jobs|hh\.ru|wellfound|angel\.co|builtin|dice|finn\.no|nav\.no|arbeidsplassen|jobbnorge|webcruiter|jobindex\.dk|jobnet\.dk|arbetsformedlingen|monster\.se|arbetspaket|hh\.ru|rabota\.ru"
+)
+CAREERS_PAGE = r"/(jobs|careers|positions|openings|vacancies|opportunities|open-roles)(/|$|\?)"
+DETAIL_PATH = r"/(biz|place|listing|detail|business|location|shop|store|property|venue|rental|hotel|restaurant|companies?|profile|firm|practice|provider|merchant)/"
+NAVIGATION_TEXT = r"^(reviews?|menu|photos|map|view|more|details|info|share|book|save|contact|directions?|website)$"
+
+# The older page score: hosts and paths; its texts are those of CONFIDENCE_TEXT.
+OLD_AGGREGATORS = r"jobrapido\.com|indeed\.com|glassdoor\.com|monster\.com|simplyhired\.com|ziprecruiter\.com|naukri\.com|reed\.co\.uk|seek\.com|stepstone\."
+OLD_PATH = r"/(jobs?|careers?|stellen|stelle|positions?|opening|vacanc|stellenangebote|joboffer)"
+OLD_QUERY = r"[?&](w|q|keywords?|search)="

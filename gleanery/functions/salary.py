@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import filled
+from .text import clean, filled
 
 
 def amount(text: Column) -> Column:
     """Digits without thousands separators; one or two decimals are dropped."""
-    bare = F.regexp_replace(F.trim(text), r"[.,]\s*[–—\-]\s*$", "")
+    bare = F.regexp_replace(clean(text), r"[.,]\s*[–—\-]\s*$", "")
     whole = F.regexp_extract(bare, r"^(\d{1,3}(?:[.,'\s]\d{3})*)(?:[.,]\d{1,2})?$", 1)
     return F.regexp_replace(F.when(whole != "", whole).otherwise(bare), r"[.,'\s–—\-]", "")
 
@@ -22,7 +22,7 @@ def salary(text: Column) -> Column:
     Period words are read as they always were: a word that holds ``hr`` (so ``Jahr`` too) is an hour, ``mo`` alone a year.
     """
     pattern = (
-        rf"(?iu)({fixed.CURRENCY})\s?({fixed.AMOUNT})\s?(?:[.,]–|–|\.-|-|—)?\s?(?:k\b|tausend|thousand)?\s?(?:-|–|—|to|bis|à|a)?\s?"
+        rf"(?iU)({fixed.CURRENCY})\s?({fixed.AMOUNT})\s?(?:[.,]–|–|\.-|-|—)?\s?(?:k\b|tausend|thousand)?\s?(?:-|–|—|to|bis|à|a)?\s?"
         rf"{fixed.CURRENCY}?\s?({fixed.AMOUNT})?\s?(?:[.,]–|–|—|\.-)?\s?(per|/|pro|par|al)?\s?{fixed.PERIOD}"
     )
     whole, period = F.regexp_extract(text, pattern, 0), F.lower(F.regexp_extract(text, pattern, 5))

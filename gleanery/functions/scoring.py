@@ -60,6 +60,19 @@ def detection(url: Column, text: Column, html: Column, has_posting: Column, has_
     return F.struct((total >= 0.6).alias("is_job"), F.least(F.lit(1.0), total).alias("confidence"), reasons.alias("reasons"), ats.alias("ats"))
 
 
+def old_detection(url: Column, text: Column, html: Column, has_posting: Column, has_microdata: Column, adverts: Column) -> Column:
+    """``is_job, confidence``: the older weighted sum, a job page from 0.7: hosts of aggregators, searches and adverts count too."""
+    host, hits = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1), F.lit(0)
+    for p in fixed.CONFIDENCE_TEXT:
+        hits = hits + text.rlike(f"(?iU){p}").cast("int")
+    score = F.when(host.rlike(f"(?i){fixed.OLD_AGGREGATORS}"), 0.7).otherwise(0.0) + F.when(has_posting, 1.0).otherwise(0.0)
+    score = F.when(has_microdata, F.greatest(score, F.lit(0.9))).otherwise(score)
+    score = score + F.when(path(url).rlike(f"(?i){fixed.OLD_PATH}"), 0.4).when(url.rlike(f"(?i){fixed.OLD_QUERY}"), 0.2).otherwise(0.0)
+    score = score + F.when(adverts > 0, 0.5).otherwise(0.0) + F.least(F.lit(0.4), hits * 0.08) + F.when(hiring_system(html).isNotNull() | F.lower(html).contains("workday.com"), 0.3).otherwise(0.0)
+    total = F.round(score, 6)
+    return F.struct((total >= 0.7).alias("is_job"), F.least(F.lit(1.0), total).alias("confidence"))
+
+
 def filled_count(fields: list[str]) -> Column:
     """How many of some columns have a value."""
     total = F.lit(0)

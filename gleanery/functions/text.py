@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column
@@ -84,7 +85,7 @@ def first_rule(text: Column, rules) -> Column:
     """Name of the first ``(name, pattern)`` found anywhere, ignoring case."""
     out = F.lit(None).cast("string")
     for name, pattern in reversed(rules):
-        out = F.when(text.rlike(f"(?iu){pattern}"), name).otherwise(out)
+        out = F.when(text.rlike(f"(?iU){pattern}"), name).otherwise(out)
     return out
 
 
@@ -97,7 +98,7 @@ def workplace(text: Column) -> Column:
 
 
 def flag(text: Column, name: str) -> Column:
-    return F.when(text.rlike(f"(?iu){fixed.FLAGS[name]}"), "yes")
+    return F.when(text.rlike(f"(?iU){fixed.FLAGS[name]}"), "yes")
 
 
 def section_kind(heading: Column) -> Column:
@@ -105,15 +106,15 @@ def section_kind(heading: Column) -> Column:
 
 
 def education(text: Column) -> Column:
-    return filled(clean(F.regexp_extract(text, f"(?iu){fixed.EDUCATION}", 1)))
+    return filled(clean(F.regexp_extract(text, f"(?iU){fixed.EDUCATION}", 1)))
 
 
 def experience_years(text: Column) -> Column:
-    return F.coalesce(*[filled(F.regexp_extract(text, rf"(?iu)\b{p}", 1)) for p in fixed.EXPERIENCE])
+    return F.coalesce(*[filled(F.regexp_extract(text, rf"(?iU)\b{p}", 1)) for p in fixed.EXPERIENCE])
 
 
 def hiring_manager(text: Column) -> Column:
-    return filled(clean(F.regexp_extract(text, fixed.MANAGER, 1)))
+    return filled(clean(F.regexp_extract(text, f"(?U){fixed.MANAGER}", 1)))
 
 
 def clean_title(title: Column) -> Column:
@@ -123,17 +124,45 @@ def clean_title(title: Column) -> Column:
 
 def postal_city(location: Column) -> Column:
     """``postal_code`` and ``city`` from ``street, 1234 City``; else the part after the last comma."""
-    code = filled(F.regexp_extract(location, r"\b(\d{4})\b", 1))
-    city = filled(F.regexp_extract(location, r"\b\d{4}\s+([A-Za-zÆØÅæøåäöü\-]+)", 1))
+    code = filled(F.regexp_extract(location, r"(?U)\b(\d{4})\b", 1))
+    city = filled(F.regexp_extract(location, r"(?U)\b\d{4}\s+([A-Za-zÆØÅæøåäöü\-]+)", 1))
     return F.struct(code.alias("postal_code"), F.coalesce(city, F.trim(F.substring_index(location, ",", -1))).alias("city"))
 
 
 def strip_tags(html: Column) -> Column:
-    """Text of a small HTML fragment by expression: tags become spaces, common references are decoded."""
-    text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    return clean(text)
+    """Text of a small HTML fragment by expression: tags become spaces, references are decoded."""
+    return clean(unescaped(F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")))
+
+
+def _references() -> tuple[dict[str, str], dict[int, str]]:
+    """Named references of HTML, and what numbers of control characters stand for: those of the Windows code page."""
+    from html.entities import html5
+
+    old = {n: bytes([n]).decode("cp1252", "replace") for n in range(128, 160)}
+    return {k[:-1]: v for k, v in html5.items() if k.endswith(";")}, {n: c for n, c in old.items() if c != "\ufffd"}
+
+
+NAMED, NUMBERED = _references()
+
+
+def unescaped(text: Column) -> Column:
+    """Text with character references decoded: all named ones and numbers, decimal or hexadecimal; others stay as they are.
+
+    Only what follows an ampersand is looked at, so texts without one cost no lookup.
+    """
+    named = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")  # a constant to the optimiser
+
+    def decoded(piece: Column) -> Column:
+        name = F.regexp_extract(piece, r"^(#[xX][0-9A-Fa-f]{1,7}|#[0-9]{1,8}|[A-Za-z][A-Za-z0-9]{1,40});", 1)
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 9)).cast("long")
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        sign = F.when(number.isNotNull(), F.when(valid, F.translate(plain, "".join(map(chr, NUMBERED)), "".join(NUMBERED.values()))).otherwise("\ufffd")).when(name != "", F.try_element_at(named, name))
+        return F.when(sign.isNotNull(), F.concat(sign, F.substring(piece, F.length(name) + 2, F.length(piece)))).otherwise(F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&")
+    whole = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(decoded(p))), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def condensed(html: Column, limit: int | None = None) -> Column:
@@ -144,5 +173,41 @@ def condensed(html: Column, limit: int | None = None) -> Column:
 
 def labelled_value(text: Column, label: str, value: str) -> Column:
     """Value after ``label:`` in running text, if it has the form ``value`` (one group)."""
-    found = F.trim(F.regexp_extract(text, rf"(?iu)\b{label}\b\s*:?\s*{value}", 1))
+    found = F.trim(F.regexp_extract(text, rf"(?iU)\b{label}\b\s*:?\s*{value}", 1))
     return F.when((found != "") & (F.length(found) < 100) & ~F.lower(found).isin("none", "null", "n/a"), found)
+
+
+def employer_in(description: Column) -> Column:
+    """Employer named at the start of a description, null if what follows is no name of one to eight words."""
+    name = F.rtrim(F.regexp_extract(clean(description), fixed.EMPLOYER, 1), F.lit(",."))
+    return F.when((name != "") & (F.size(F.split(name, " ")) <= 8) & ~name.rlike(f"(?iU){fixed.EMPLOYER_REJECT}"), F.trim(name))
+
+
+def inline_labels(text: Column) -> dict[str, Column]:
+    """Fields by labels in running text: of each field the first label whose value has its form and is no label itself."""
+    found: dict[str, list[Column]] = {}
+    for label, field, value in fixed.INLINE_LABELS:
+        own = F.regexp_replace(labelled_value(text, label, value), r"^[ \t:\-—,;]+|[ \t:\-—,;]+$", "")
+        found.setdefault(field, []).append(F.when((own != "") & ~own.rlike(f"(?iU){fixed.LABEL_ALONE}"), own))
+    return {field: F.coalesce(*values) for field, values in found.items()}
+
+
+def company_of_card(current: Column, logo: Column, title: Column, named: Column) -> Column:
+    """Company of a fact-card page: the one found unless it is no company's name, else the logo's text, the title before its dash, the element that names one."""
+
+    def good(name: Column, most: int) -> Column:
+        return F.length(name).between(2, most)
+
+    bad = f"(?iU){fixed.NO_COMPANY}"
+    prefix = F.trim(F.substring_index(title, " - ", 1))
+    return F.coalesce(
+        F.when((filled(current).isNotNull()) & ~current.rlike(bad), current),
+        F.when(good(clean(logo), 80) & ~logo.rlike(bad), clean(logo)),
+        F.when(F.contains(title, F.lit(" - ")) & good(prefix, 60) & ~prefix.rlike(r"\d"), prefix),
+        F.when(good(clean(named), 80) & ~named.rlike(bad), clean(named)),
+        filled(current),
+    )
+
+
+def deadline(value: Column) -> Column:
+    return F.when(clean(value).rlike(fixed.DEADLINE), clean(value))

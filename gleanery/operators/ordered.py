@@ -6,17 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+from .durable import kept
+
 
 def paced(rows: DataFrame, key: str, arrival: str, order: list[str], spacing: float) -> DataFrame:
     """Launch times with at least ``spacing`` between launches of a key, none before its arrival.
 
-    launch(i) = max(arrival(i), launch(i-1) + spacing) has the closed form spacing*i + max(arrival(j) - spacing*j, j <= i).
+    launch(i) = max(arrival(i), launch(i-1) + spacing) has the closed form spacing*i + max(arrival(j) - spacing*j, j <= i). Both the
+    number i and the maximum are taken in two levels, inside stretches of arrival and over stretches, so a key's rows don't meet in one task.
     """
-    w = W.partitionBy(key).orderBy(arrival, *order)
-    i = F.row_number().over(w)
-    out = rows.withColumn("nth", i)
-    lead = F.max(F.col(arrival) - spacing * F.col("nth")).over(W.partitionBy(key).orderBy("nth").rowsBetween(W.unboundedPreceding, 0))
-    return out.withColumn("launch", lead + spacing * F.col("nth"))
+    out = rows.withColumn("__at", F.floor(F.col(arrival) / (1000.0 * spacing)))
+    out = out.withColumn("nth", F.row_number().over(W.partitionBy(key, "__at").orderBy(arrival, *order)))
+    before = W.partitionBy(key).orderBy("__at").rowsBetween(W.unboundedPreceding, -1)
+    counts = out.groupBy(key, "__at").agg(F.count(F.lit(1)).alias("n")).select(key, "__at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n"))
+    out = kept(out.join(counts, [key, "__at"]).withColumn("nth", F.col("nth") + F.col("__n")).drop("__n"))
+    lead = F.col(arrival) - spacing * F.col("nth")
+    most = out.groupBy(key, "__at").agg(F.max(lead).alias("m")).select(key, "__at", F.max("m").over(before).alias("__m"))
+    inside = F.max(lead).over(W.partitionBy(key, "__at").orderBy("nth").rowsBetween(W.unboundedPreceding, 0))
+    out = out.withColumn("__lead", inside).join(most, [key, "__at"])
+    return out.withColumn("launch", F.greatest("__lead", "__m") + spacing * F.col("nth")).drop("__at", "__lead", "__m")
 
 
 def until_nothing_new(rows: DataFrame, run: str, page: str, item: str) -> DataFrame:
@@ -32,21 +41,18 @@ def until_nothing_new(rows: DataFrame, run: str, page: str, item: str) -> DataFr
 def reach(spark: SparkSession, edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int | None = None) -> DataFrame:
     """``node, depth`` reachable over ``src, dst`` edges: a frontier join and an anti-join per level.
 
-    The visited set is written between levels where the session has a checkpoint folder, so plans stay short.
+    Each level is written, so plans stay short and no level computes those before it again.
     """
     visited = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = visited
-    durable = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     for depth in range(1, max_depth + 1):
         found = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        frontier = found.join(visited, "node", "left_anti").withColumn("depth", F.lit(depth))
-        if durable:
-            frontier = frontier.checkpoint()
+        frontier = kept(found.join(visited, "node", "left_anti").withColumn("depth", F.lit(depth)))
         visited = visited.unionByName(frontier)
     return visited.orderBy("depth", "node").limit(max_nodes) if max_nodes else visited
 
 
-def best_cluster(links: DataFrame, page: str, prefix: str, position: str, least: int = 3, hint: str = r"(job|stilling|vacanc|career|posting|opening|ad|opportunit|trabajo)") -> DataFrame:
+def best_cluster(links: DataFrame, page: str, prefix: str, position: str, least: int = 3, hint: str = fixed.CLUSTER_HINT) -> DataFrame:
     """Highest scoring group of links of each page: size, plus ten for a telling prefix; ties to the group seen first."""
     groups = links.groupBy(page, prefix).agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("first_at"))
     score = F.col("n") + F.when(F.col(prefix).rlike(f"(?i){hint}"), 10).otherwise(0)

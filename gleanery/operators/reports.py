@@ -61,9 +61,21 @@ def monthly_totals(rows: DataFrame, at: str, sums: dict[str, Column]) -> DataFra
 
 
 def within_budget(rows: DataFrame, at: str, cost: str, order: list[str], cap: float) -> DataFrame:
-    """Rows whose month had spent less than ``cap`` before them, in order."""
-    w = W.partitionBy(F.date_format(at, "yyyy-MM")).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("spent_before", F.coalesce(F.sum(cost).over(w), F.lit(0))).where(F.col("spent_before") < cap)
+    """Rows whose month had spent less than ``cap`` before them, in order; ``order`` begins with ``at``.
+
+    Sums run inside days, and over the days of a month, so no task sorts a month.
+    """
+    if order[0] != at:
+        raise ValueError("the order begins with the time")
+    rows = rows.withColumn("__day", F.date_format(at, "yyyy-MM-dd"))
+    days = rows.groupBy("__day").agg(F.sum(cost).alias("spent"))
+    before = W.partitionBy(F.substring("__day", 1, 7)).orderBy("__day").rowsBetween(W.unboundedPreceding, -1)
+    days = days.select("__day", F.coalesce(F.sum("spent").over(before), F.lit(0)).alias("__earlier"))
+    inside = W.partitionBy("__day").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    spent = F.coalesce(F.sum(cost).over(inside), F.lit(0)) + F.col("__earlier")
+    # Days that began beyond the cap go before they are sorted.
+    rows = rows.join(days.where(F.col("__earlier") < cap), "__day").withColumn("spent_before", spent)
+    return rows.where(F.col("spent_before") < cap).drop("__day", "__earlier")
 
 
 def unpivoted(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

@@ -93,7 +93,9 @@ def extract(parsed: DataFrame, tech_terms: list[str] = (), page_url: str = "url"
     last = {"title": F.coalesce(text.filled(F.col("page.h1")), text.clean_title(F.col("page.title"))), "description": F.left(F.col("page.main_text"), F.lit(10_000)), "language": F.col("page.lang")}
     hits = text.dictionary_hits(F.lower(body), list(tech_terms)) if tech_terms else None
     skills = {"tech_stack": text.filled(F.array_join(hits, ", ")), "skills": text.filled(F.array_join(F.slice(hits, 1, 30), ", "))} if hits is not None else {}
-    fields = structured.within_page(ld, micro, meta, labels, _sections("page.sections"), people, _heuristics(body), skills, last)
+    dated = {"valid_through": text.deadline(F.col("page.deadline"))}
+    fields = structured.within_page(ld, micro, meta, labels, dated, text.inline_labels(body), _sections("page.sections"), people, _heuristics(body), skills, last)
+    fields["company"] = text.company_of_card(F.coalesce(fields["company"], text.employer_in(fields["description"])), F.col("page.logo_name"), fields["title"], F.col("page.company_name"))
     fields["description"] = F.when(F.length(first_wins(ld["description"], micro["description"], meta["description"])) >= 50, first_wins(ld["description"], micro["description"], meta["description"])).otherwise(longest_wins(fields["description"], last["description"]))
     fields["qualifications"] = fields["requirements"]
     fields["job_url"] = url.best_job_url(ld["job_url"], F.col("page.canonical"), text.filled(F.try_element_at(F.col("page.metas"), F.lit("og:url"))), link)

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.dedup import last_wins
+from .operators.durable import scratch
 from .queries import query
 from .streaming import attempts
 
@@ -17,10 +19,20 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Final rows of a query in a memory table; only for results whose size is that of a report or a fixture."""
-    name = f"stream_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """Final rows of a query: every micro-batch is written to the shared folder; in complete mode the last one counts, in update mode each key's last row."""
+    spark = stream.sparkSession
+    path = scratch(spark, "stream")
+    keep = "overwrite" if mode == "complete" else "append"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode(keep).parquet(f"{path}/rows")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{path}/rows")
+    if mode == "update":
+        keys = [c for c in ("run_id", "url", "start", "end") if c in rows.columns]
+        rows = last_wins(rows, [F.col(c) for c in keys], [F.col("batch")])
+    return rows.drop("batch")
 
 
 def _attempts(spark, sf):

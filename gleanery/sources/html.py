@@ -30,7 +30,7 @@ PARSED = T.StructType(
         T.StructField("title", Text), T.StructField("h1", Text), T.StructField("canonical", Text), T.StructField("lang", Text), T.StructField("text", Text), T.StructField("main_text", Text),
         T.StructField("metas", T.MapType(Text, Text)), T.StructField("anchors", T.ArrayType(Anchor)), T.StructField("frames", T.ArrayType(Text)), T.StructField("ld_json", T.ArrayType(Text)),
         T.StructField("payload", Text), T.StructField("stream", Text), T.StructField("adverts", T.ArrayType(Text)), T.StructField("job_props", T.MapType(Text, Text)), T.StructField("business_props", T.MapType(Text, Text)),
-        T.StructField("pairs", T.ArrayType(Pair)), T.StructField("sections", T.ArrayType(Pair)), T.StructField("recruiter", Text), T.StructField("groups", T.ArrayType(Group)), T.StructField("paging", Text),
+        T.StructField("pairs", T.ArrayType(Pair)), T.StructField("sections", T.ArrayType(Pair)), T.StructField("recruiter", Text), T.StructField("groups", T.ArrayType(Group)), T.StructField("paging", Text), T.StructField("logo_name", Text), T.StructField("company_name", Text), T.StructField("deadline", Text),
     ]
 )
 
@@ -245,6 +245,9 @@ def parse(html: str | None, url: str | None) -> dict | None:
         "recruiter": contact,
         "groups": _groups(body, base),
         "paging": _paging(tree),
+        "logo_name": next((n.attrs["alt"] for box in nodes if "company_logo" in box.attrs.get("class", "") for n in box.walk() if n.tag == "img" and n.attrs.get("alt")), None),
+        "company_name": next((t for k in ("company-name", "jp-company") for n in nodes if k in n.attrs.get("class", "").split() if (t := n.text())), None),
+        "deadline": next((n.text() for n in nodes if "deadline-date" in n.attrs.get("class", "")), None),
     }
 
 

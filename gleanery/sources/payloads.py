@@ -27,14 +27,19 @@ def _listings(items: DataFrame, **columns: Column) -> DataFrame:
         if columns.get(k) is not None:
             columns[k] = canonical(F.coalesce(columns[k], F.lit("")))
     names = [n for n in LISTING if n not in ("slug", "position")] + [n for n in columns if n not in LISTING]
-    return items.select("slug", "position", *[filled(columns[n]).alias(n) if columns.get(n) is not None else F.lit(None).cast("string").alias(n) for n in names])
+    return items.select(*_own(items), "position", *[filled(columns[n]).alias(n) if columns.get(n) is not None else F.lit(None).cast("string").alias(n) for n in names])
+
+
+def _own(payloads: DataFrame) -> list[str]:
+    """Columns that a listing takes from its payload: the slug, and where the payload comes from if that is given."""
+    return ["slug", *[c for c in ("origin",) if c in payloads.columns]]
 
 
 def _items(payloads: DataFrame, schema: str, array: str | None = None) -> DataFrame:
     # A lone object would be read as a list of one.
     shape = "{" if array else "["
     body = F.from_json(F.when(F.ltrim("body").startswith(shape), F.col("body")), schema)
-    return payloads.select("slug", F.posexplode(body[array] if array else body).alias("position", "x"))
+    return payloads.select(*_own(payloads), F.posexplode(body[array] if array else body).alias("position", "x"))
 
 
 def _remote(test: Column) -> Column:
@@ -111,7 +116,7 @@ def workable(payloads: DataFrame) -> DataFrame:
     """Both shapes: ``jobs`` of the widget, else ``results`` of the paged API."""
     item = "array<struct<shortcode:string,title:string,url:string,type:string,employment_type:string,published:string,published_on:string,created_at:string,remote:boolean,location:struct<city:string,region:string,country:string,workplace:string>>>"
     body = F.from_json("body", f"jobs {item}, results {item}")
-    x = payloads.select("slug", F.posexplode(F.coalesce(F.when(F.size(body["jobs"]) > 0, body["jobs"]), body["results"])).alias("position", "x"))
+    x = payloads.select(*_own(payloads), F.posexplode(F.coalesce(F.when(F.size(body["jobs"]) > 0, body["jobs"]), body["results"])).alias("position", "x"))
     url = F.coalesce(filled(F.col("x.url")), F.concat(F.lit("https://apply.workable.com/"), F.col("slug"), F.lit("/j/"), F.col("x.shortcode"), F.lit("/")))
     return _listings(
         x, title=F.col("x.title"), location=_joined(", ", F.col("x.location.city"), F.col("x.location.region"), F.col("x.location.country")),
@@ -136,7 +141,7 @@ def smartrecruiters(payloads: DataFrame) -> DataFrame:
 
 def _first_of_id(items: DataFrame, id_: Column) -> DataFrame:
     """First occurrence of each id; rows without one go."""
-    nth = F.row_number().over(W.partitionBy("slug", "id").orderBy("position"))
+    nth = F.row_number().over(W.partitionBy(*_own(items), "id").orderBy("position"))
     return items.withColumn("id", id_).where(filled(F.col("id")).isNotNull()).withColumn("nth", nth).where("nth = 1")
 
 
@@ -174,7 +179,7 @@ def personio(payloads: DataFrame) -> DataFrame:
     """XML feed; ``slug`` is the base URL, whose first host label names the company."""
     fields = "id:string,name:string,office:string,department:string,employmentType:string,schedule:string,seniority:string,recruitingCategory:string,occupation:string,occupationCategory:string,createdAt:string,url:string,jobDescriptions:struct<jobDescription:array<struct<name:string,value:string>>>"
     body = F.from_xml("body", f"position array<struct<{fields}>>")
-    x = payloads.where(F.ltrim("body").startswith("<?xml")).select("slug", F.posexplode(body["position"]).alias("position", "x"))
+    x = payloads.where(F.ltrim("body").startswith("<?xml")).select(*_own(payloads), F.posexplode(body["position"]).alias("position", "x"))
     parts = F.transform("x.jobDescriptions.jobDescription", lambda d: F.when(filled(d["value"]).isNotNull(), F.concat(F.when(filled(F.trim(d["name"])).isNotNull(), F.concat(F.trim(d["name"]), F.lit(": "))).otherwise(""), strip_tags(d["value"]))))
     tags = _joined(" ", *[F.col(f"x.{k}") for k in ("department", "recruitingCategory", "occupation", "occupationCategory", "seniority")])
     base = F.regexp_replace("slug", "/+$", "")

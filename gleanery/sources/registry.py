@@ -99,9 +99,13 @@ def targets(spark: SparkSession, config: Config) -> DataFrame:
 
 
 def stubs(payloads: DataFrame) -> DataFrame:
-    """Listings of ``adapter, target, slug, body`` payloads, one parser per adapter, with the target and its order kept."""
+    """Listings of ``adapter, target, target_position, slug, body`` payloads, one parser per adapter.
+
+    Each listing keeps the target of the payload that it comes from, also where targets or pages share a slug.
+    """
     found = None
+    origin = F.struct("target", "target_position").alias("origin")
     for name, parse in PARSERS.items():
-        rows = parse(payloads.where(F.col("adapter") == name).select("slug", "body")).withColumn("adapter", F.lit(name))
+        rows = parse(payloads.where(F.col("adapter") == name).select("slug", origin, "body")).withColumn("adapter", F.lit(name))
         found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
-    return found.join(payloads.select("adapter", "slug", "target", "target_position").distinct(), ["adapter", "slug"])
+    return found.select("*", "origin.target", "origin.target_position").drop("origin")

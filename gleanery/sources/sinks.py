@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -32,10 +33,31 @@ def csv_line(columns: list[str]) -> Column:
 
 
 def write_quoted_csv(records: DataFrame, path: str, columns: list[str]) -> None:
-    """Files with a byte-order mark, a header line and CRLF ends, for spreadsheets."""
-    lines = flat(records, columns).select(csv_line(columns).alias("value"))
-    head = records.sparkSession.createDataFrame([("﻿" + ",".join(columns),)], "value string")
-    head.unionAll(lines).coalesce(1).write.option("lineSep", "\r\n").text(path)
+    """Files with a byte-order mark, a header line and CRLF ends, for spreadsheets: one for each ``FILE_ROWS`` records."""
+    head = "\ufeff" + ",".join(columns)
+    _framed(flat(records, columns).select(csv_line(columns).alias("value")), F.lit(head), None).write.option("lineSep", "\r\n").text(path)
+
+
+FILE_ROWS = 1_000_000
+
+
+def _framed(lines: DataFrame, first: Column, last: Column | None, comma: bool = False) -> DataFrame:
+    """Lines dealt to files by hash, each file begun by a line and, if given, ended by one; with commas before all but its first record."""
+    spark, files = lines.sparkSession, max(1, -(-lines.count() // FILE_ROWS))
+    ends = [spark.range(files).select(F.col("id").cast("int").alias("file"), F.lit(k).alias("k"), v.alias("value")) for k, v in ((0, first), (3, last)) if v is not None]
+    rows = lines.select(F.pmod(F.xxhash64("value"), F.lit(files)).cast("int").alias("file"), F.lit(2).alias("k"), "value")
+    if comma:
+        nth = F.row_number().over(W.partitionBy("file").orderBy("value"))
+        rows = rows.withColumn("k", F.when(nth == 1, 1).otherwise(2)).withColumn("value", F.when(F.col("k") == 1, F.col("value")).otherwise(F.concat(F.lit(","), "value")))
+    for part in ends:
+        rows = rows.unionAll(part)
+    return rows.repartitionById(files, F.col("file")).sortWithinPartitions("k", "value").select("value")
+
+
+def write_json_array(records: DataFrame, path: str) -> None:
+    """Files that hold one JSON array each, a record a line; an empty table gives an empty array."""
+    line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns]), {"ignoreNullFields": "false"})
+    _framed(records.select(line.alias("value")), F.lit("["), F.lit("]"), comma=True).write.text(path)
 
 
 def write_ndjson(records: DataFrame, path: str) -> None:

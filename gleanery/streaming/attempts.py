@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE = "attempts int, failures int, reason string, last_ms long, resolved boolean"
+STATE = "attempts int, failures int, reason string, last_ms long, bad_ms long, good boolean"
 OUT = "run_id long, url string, attempts int, failures int, reason string, resolved boolean, retry_at_ms long"
 
 
@@ -25,16 +25,16 @@ def failure_state(attempts: DataFrame, retries: int = 2, backoff_ms: int = 1000,
         if state.hasTimedOut:
             state.remove()
             return
-        tried, failed, reason, last, resolved = state.get if state.exists else (0, 0, None, 0, False)
-        rows = pd.concat(list(batches)).sort_values("ts_ms", kind="stable")
-        for r in rows.itertuples():
-            tried += 1
-            last = int(r.ts_ms)
-            if r.ok:
-                resolved = failed > 0
-            else:
-                failed, reason, resolved = failed + 1, r.reason, False
-        state.update((tried, failed, reason, last, resolved))
+        tried, failed, reason, last, bad_ms, good = state.get if state.exists else (0, 0, None, 0, 0, False)
+        for rows in batches:  # each batch is counted as a whole; the latest row decides, whichever batch brings it
+            bad, end = rows[~rows["ok"]], rows.iloc[rows["ts_ms"].to_numpy().argmax()]
+            tried, failed = tried + len(rows), failed + len(bad)
+            if len(bad) and bad["ts_ms"].max() >= bad_ms:
+                bad_ms, reason = int(bad["ts_ms"].max()), bad.iloc[bad["ts_ms"].to_numpy().argmax()]["reason"]
+            if int(end["ts_ms"]) >= last:
+                last, good = int(end["ts_ms"]), bool(end["ok"])
+        resolved = good and failed > 0
+        state.update((tried, failed, reason, last, bad_ms, good))
         if expire_ms:
             state.setTimeoutDuration(expire_ms)
         again = None if resolved or failed == 0 or tried > retries else last + backoff_ms * 2 ** (tried - 1)
@@ -65,18 +65,27 @@ def run_status(counts: DataFrame, total: str = "total") -> DataFrame:
     return counts.withColumn("status", status).withColumn("progress", F.when(F.col(total) > 0, F.round(100.0 * F.col("done") / F.col(total))).otherwise(0.0))
 
 
-def upsert_batches(stream: DataFrame, path: str, key: str, order: str, checkpoint: str):
-    """Keep a Parquet table of the last row of each key: each micro-batch is merged and the table's next version written.
+PARTS = 64
 
-    A batch that is run again writes the same version, so a lost driver does no harm.
+
+def upsert_batches(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, parts: int = PARTS):
+    """Keep a Parquet table of the last row of each key: a micro-batch rewrites only those of ``parts`` that its keys fall into.
+
+    A part's rows are merged, written aside and moved into place. What is there already, from an earlier run too, takes part; a batch that
+    is run again gives the same rows. Parts are folders ``part=K`` of ``path``.
     """
     from ..operators.dedup import last_wins
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = last_wins(batch, [F.col(key)], [F.col(order)])
-        if number:
-            new = last_wins(spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}").unionByName(new), [F.col(key)], [F.col(order)])
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        new = last_wins(batch.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")), [F.col(key)], [F.col(order)])
+        touched = [r["part"] for r in new.select("part").distinct().collect()]  # at most ``parts``
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+            old = spark.read.schema(new.schema).parquet(path).where(F.col("part").isin(touched))
+            new = last_wins(old.unionByName(new), [F.col(key)], [F.col(order)])
+        aside = f"{path.rstrip('/')}_aside"
+        new.write.mode("overwrite").parquet(aside)
+        spark.read.schema(new.schema).parquet(aside).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
