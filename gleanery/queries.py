@@ -484,4 +484,4 @@ def event_props(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.page").alias("page"), F.get_json_object("props", "$.k").alias("k"))
 
 
-from . import queries_pages, queries_streams  # noqa: E402, F401  (they register queries of their own)
+from . import queries_pages, queries_streams, queries_tables  # noqa: E402, F401  (they register queries of their own)
