@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import clean, filled, ordered_uniq
+from .text import clean, filled, folded, ordered_uniq
 
 
 def emails(text: Column, variant: str = "page") -> Column:
@@ -40,7 +40,7 @@ def valid_phone(phone: Column) -> Column:
 
 
 def page_phones(text: Column) -> Column:
-    found = F.transform(F.regexp_extract_all(text, F.lit(f"(?U)({fixed.PAGE_PHONE})"), F.lit(1)), lambda p: F.trim(p))
+    found = F.transform(F.regexp_extract_all(folded(text), F.lit(f"({fixed.PAGE_PHONE})"), F.lit(1)), lambda p: F.trim(p))
     return ordered_uniq(F.filter(found, page_phone_ok))
 
 
@@ -53,7 +53,7 @@ def mined_phones(text: Column, country: Column | None = None) -> Column:
     """International or leading-zero numbers, plain and valid; Norwegian ones first where ``country`` is NO."""
 
     def of(pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(f"(?U)({pattern})"), F.lit(1)), plain_phone)
+        return F.transform(F.regexp_extract_all(folded(text), F.lit(f"({pattern})"), F.lit(1)), plain_phone)
 
     general = of(fixed.MINER_PHONE)
     if country is not None:
@@ -64,15 +64,16 @@ def mined_phones(text: Column, country: Column | None = None) -> Column:
 
 def contact_block(text: Column) -> Column:
     """Name, title, phone and email of a contact section."""
+    text = folded(text)
     title, name = fixed.CONTACT_TITLE, fixed.CONTACT_NAME
-    pair = rf"(?U){name}\s*[,(–\-|/]\s*{title}"
-    honoured = rf"(?U)\b{fixed.HONORIFIC}\s+{name}\b"
+    pair = rf"{name}\s*[,(–\-|/]\s*{title}"
+    honoured = rf"\b{fixed.HONORIFIC}\s+{name}\b"
     called = F.regexp_extract(text, honoured, 2)
     called = F.when(F.regexp_extract(text, honoured, 1).startswith("Dr"), F.concat(F.lit("Dr. "), called)).otherwise(called)
-    phone = filled(F.regexp_extract(text, f"(?U)({fixed.PAGE_PHONE})", 1))
+    phone = filled(F.regexp_extract(text, f"({fixed.PAGE_PHONE})", 1))
     return F.struct(
         F.coalesce(filled(clean(F.regexp_extract(text, pair, 1))), filled(called)).alias("name"),
-        F.coalesce(filled(clean(F.regexp_extract(text, pair, 2))), filled(clean(F.regexp_extract(text, f"(?iU){fixed.RECRUITER_TITLE}", 1)))).alias("title"),
+        F.coalesce(filled(clean(F.regexp_extract(text, pair, 2))), filled(clean(F.regexp_extract(text, f"(?iu){fixed.RECRUITER_TITLE}", 1)))).alias("title"),
         F.when(F.length(digits(phone)) >= 7, clean(phone)).alias("phone"),
         F.get(emails(text), F.lit(0)).alias("email"),
     )
@@ -80,7 +81,7 @@ def contact_block(text: Column) -> Column:
 
 def context(text: Column, keyword: str, before: int = 100, after: int = 800) -> Column:
     """Window of text around the first keyword, null without one."""
-    at = F.regexp_instr(text, F.lit(f"(?iU){keyword}"))
+    at = F.regexp_instr(text, F.lit(f"(?iu){keyword}"))
     return F.when(at > 0, F.substring(text, F.greatest(F.lit(1), at - before), F.lit(before + after)))
 
 
@@ -89,5 +90,5 @@ def name_role(line: Column) -> Column:
     word, low = r"[A-ZÆØÅÄÖÜ][a-zæøåäöüß'\-]+", f"(?iu:{fixed.ROLES})"
     name = F.regexp_extract(line, rf"^((?:(?!{low}){word}\s+)*(?!{low}){word})(?:\s|$)", 1)
     rest = F.trim(F.substring(line, F.length(name) + 1, F.length(line)))
-    role = F.regexp_extract(rest, f"(?iU)^(.+?)\\s*{fixed.ROLE_END}", 1)
+    role = F.regexp_extract(rest, f"(?iu)^(.+?)\\s*{fixed.ROLE_END}", 1)
     return F.struct(filled(name).alias("name"), F.when(name != "", filled(F.left(F.regexp_replace(role, r"^[ ,;:]+|[ ,;:]+$", ""), F.lit(120)))).alias("role"))

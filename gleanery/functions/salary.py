@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import clean, filled
+from .text import bound, clean, filled, folded
 
 
 def amount(text: Column) -> Column:
@@ -22,20 +22,25 @@ def salary(text: Column) -> Column:
     Period words are read as they always were: a word that holds ``hr`` (so ``Jahr`` too) is an hour, ``mo`` alone a year.
     """
     pattern = (
-        rf"(?iU)({fixed.CURRENCY})\s?({fixed.AMOUNT})\s?(?:[.,]–|–|\.-|-|—)?\s?(?:k\b|tausend|thousand)?\s?(?:-|–|—|to|bis|à|a)?\s?"
+        rf"(?iu)({fixed.CURRENCY})\s?({fixed.AMOUNT})\s?(?:[.,]–|–|\.-|-|—)?\s?(?:k\b|tausend|thousand)?\s?(?:-|–|—|to|bis|à|a)?\s?"
         rf"{fixed.CURRENCY}?\s?({fixed.AMOUNT})?\s?(?:[.,]–|–|—|\.-)?\s?(per|/|pro|par|al)?\s?{fixed.PERIOD}"
     )
-    whole, period = F.regexp_extract(text, pattern, 0), F.lower(F.regexp_extract(text, pattern, 5))
-    money = F.lit(None).cast("string")
-    for signs, code in reversed((("€|EUR", "EUR"), (r"\$|USD", "USD"), ("£|GBP", "GBP"), (r"CHF|Fr\.", "CHF"), ("SEK", "SEK"))):
-        money = F.when(whole.rlike(f"(?i){signs}"), code).otherwise(money)
-    unit = F.when(period.rlike("month|monat|mois"), "month").when(period.rlike("hour|hr|stunde|heure|ora"), "hour").when(period != "", "year")
-    return F.struct(
-        filled(amount(F.regexp_extract(text, pattern, 2))).alias("low"),
-        filled(amount(F.regexp_extract(text, pattern, 3))).alias("high"),
-        money.alias("currency"),
-        unit.alias("period"),
-    )
+
+    def read(t: Column) -> Column:
+        whole, period = F.regexp_extract(t, pattern, 0), F.lower(F.regexp_extract(t, pattern, 5))
+        money = F.lit(None).cast("string")
+        for signs, code in reversed((("€|EUR", "EUR"), (r"\$|USD", "USD"), ("£|GBP", "GBP"), (r"CHF|Fr\.", "CHF"), ("SEK", "SEK"))):
+            money = F.when(whole.rlike(f"(?i){signs}"), code).otherwise(money)
+        unit = F.when(period.rlike("month|monat|mois"), "month").when(period.rlike("hour|hr|stunde|heure|ora"), "hour").when(period != "", "year")
+        return F.struct(
+            filled(amount(F.regexp_extract(t, pattern, 2))).alias("low"),
+            filled(amount(F.regexp_extract(t, pattern, 3))).alias("high"),
+            money.alias("currency"),
+            unit.alias("period"),
+        )
+
+    # Only from the first range on: the other groups are read from that short piece.
+    return bound(F.regexp_extract(folded(text), f"(?s){pattern}", 0), read)
 
 
 def display(low: Column, high: Column, currency: Column, period: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 from pyspark.sql import Column
@@ -27,6 +26,20 @@ def filled(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
+def bound(value: Column, make) -> Column:
+    """``make(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
+#: Unicode spaces other than the plain one, and line separators.
+SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u0085"
+
+
+def folded(text: Column) -> Column:
+    """Every Unicode space as a plain one, so that patterns need no Unicode classes, which cost several times as much."""
+    return F.translate(text, SPACES, " " * len(SPACES))
+
+
 def blob(*parts: Column) -> Column:
     return F.lower(F.concat_ws(" ", *[F.coalesce(p, F.lit("")) for p in parts]))
 
@@ -83,10 +96,14 @@ def dictionary_hits(text: Column, terms: list[str]) -> Column:
 
 def first_rule(text: Column, rules) -> Column:
     """Name of the first ``(name, pattern)`` found anywhere, ignoring case."""
-    out = F.lit(None).cast("string")
-    for name, pattern in reversed(rules):
-        out = F.when(text.rlike(f"(?iU){pattern}"), name).otherwise(out)
-    return out
+
+    def first(t: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, pattern in reversed(rules):
+            out = F.when(t.rlike(f"(?iu){pattern}"), name).otherwise(out)
+        return out
+
+    return bound(folded(text), first)
 
 
 def seniority(text: Column) -> Column:
@@ -98,7 +115,7 @@ def workplace(text: Column) -> Column:
 
 
 def flag(text: Column, name: str) -> Column:
-    return F.when(text.rlike(f"(?iU){fixed.FLAGS[name]}"), "yes")
+    return F.when(folded(text).rlike(f"(?iu){fixed.FLAGS[name]}"), "yes")
 
 
 def section_kind(heading: Column) -> Column:
@@ -106,15 +123,15 @@ def section_kind(heading: Column) -> Column:
 
 
 def education(text: Column) -> Column:
-    return filled(clean(F.regexp_extract(text, f"(?iU){fixed.EDUCATION}", 1)))
+    return filled(clean(F.regexp_extract(folded(text), f"(?iu){fixed.EDUCATION}", 1)))
 
 
 def experience_years(text: Column) -> Column:
-    return F.coalesce(*[filled(F.regexp_extract(text, rf"(?iU)\b{p}", 1)) for p in fixed.EXPERIENCE])
+    return bound(folded(text), lambda t: F.coalesce(*[filled(F.regexp_extract(t, rf"(?iu)\b{p}", 1)) for p in fixed.EXPERIENCE]))
 
 
 def hiring_manager(text: Column) -> Column:
-    return filled(clean(F.regexp_extract(text, f"(?U){fixed.MANAGER}", 1)))
+    return filled(clean(F.regexp_extract(folded(text), fixed.MANAGER, 1)))
 
 
 def clean_title(title: Column) -> Column:
@@ -150,19 +167,27 @@ def unescaped(text: Column) -> Column:
 
     Only what follows an ampersand is looked at, so texts without one cost no lookup.
     """
-    named = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")  # a constant to the optimiser
+    # One string to search: a map as a constant would be compared entry by entry in every step of planning.
+    listed = F.lit("\x00" + "\x00".join(f"{k}\x01{v}" for k, v in NAMED.items()) + "\x00")
+
+    def meaning(name: Column) -> Column:
+        key = F.concat(F.lit("\x00"), name, F.lit("\x01"))
+        at = F.instr(listed, key)
+        return F.when(at > 0, F.substring_index(F.substring(listed, at + F.length(key), F.lit(4)), "\x00", 1))
+
 
     def decoded(piece: Column) -> Column:
         name = F.regexp_extract(piece, r"^(#[xX][0-9A-Fa-f]{1,7}|#[0-9]{1,8}|[A-Za-z][A-Za-z0-9]{1,40});", 1)
         number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 9)).cast("long")
         valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
         plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-        sign = F.when(number.isNotNull(), F.when(valid, F.translate(plain, "".join(map(chr, NUMBERED)), "".join(NUMBERED.values()))).otherwise("\ufffd")).when(name != "", F.try_element_at(named, name))
+        sign = F.when(number.isNotNull(), F.when(valid, F.translate(plain, "".join(map(chr, NUMBERED)), "".join(NUMBERED.values()))).otherwise("\ufffd")).when(name != "", meaning(name))
         return F.when(sign.isNotNull(), F.concat(sign, F.substring(piece, F.length(name) + 2, F.length(piece)))).otherwise(F.concat(F.lit("&"), piece))
 
-    pieces = F.split(text, "&")
-    whole = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(decoded(p))), "")
-    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+    def whole(t: Column) -> Column:
+        return F.array_join(F.transform(F.split(t, "&"), lambda p, i: F.when(i == 0, p).otherwise(decoded(p))), "")
+
+    return bound(text, lambda t: F.when(F.contains(t, F.lit("&")), whole(t)).otherwise(t))
 
 
 def condensed(html: Column, limit: int | None = None) -> Column:
@@ -173,14 +198,19 @@ def condensed(html: Column, limit: int | None = None) -> Column:
 
 def labelled_value(text: Column, label: str, value: str) -> Column:
     """Value after ``label:`` in running text, if it has the form ``value`` (one group)."""
-    found = F.trim(F.regexp_extract(text, rf"(?iU)\b{label}\b\s*:?\s*{value}", 1))
-    return F.when((found != "") & (F.length(found) < 100) & ~F.lower(found).isin("none", "null", "n/a"), found)
+    found = F.trim(F.regexp_extract(folded(text), rf"(?iu)\b{label}\b\s*:?\s*{value}", 1))
+    return bound(found, lambda v: F.when((v != "") & (F.length(v) < 100) & ~F.lower(v).isin("none", "null", "n/a"), v))
 
 
 def employer_in(description: Column) -> Column:
     """Employer named at the start of a description, null if what follows is no name of one to eight words."""
     name = F.rtrim(F.regexp_extract(clean(description), fixed.EMPLOYER, 1), F.lit(",."))
-    return F.when((name != "") & (F.size(F.split(name, " ")) <= 8) & ~name.rlike(f"(?iU){fixed.EMPLOYER_REJECT}"), F.trim(name))
+    return bound(name, lambda v: F.when((v != "") & (F.size(F.split(v, " ")) <= 8) & ~v.rlike(f"(?iU){fixed.EMPLOYER_REJECT}"), F.trim(v)))
+
+
+def has_inline_labels(text: Column) -> Column:
+    labels = dict.fromkeys(label for label, _, _ in fixed.INLINE_LABELS)
+    return text.rlike(rf"(?iu)\b(?:{'|'.join(labels)})")
 
 
 def inline_labels(text: Column) -> dict[str, Column]:
@@ -188,7 +218,7 @@ def inline_labels(text: Column) -> dict[str, Column]:
     found: dict[str, list[Column]] = {}
     for label, field, value in fixed.INLINE_LABELS:
         own = F.regexp_replace(labelled_value(text, label, value), r"^[ \t:\-—,;]+|[ \t:\-—,;]+$", "")
-        found.setdefault(field, []).append(F.when((own != "") & ~own.rlike(f"(?iU){fixed.LABEL_ALONE}"), own))
+        found.setdefault(field, []).append(bound(own, lambda v: F.when((v != "") & ~v.rlike(f"(?iU){fixed.LABEL_ALONE}"), v)))
     return {field: F.coalesce(*values) for field, values in found.items()}
 
 

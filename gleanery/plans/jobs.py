@@ -81,7 +81,10 @@ def extract(parsed: DataFrame, tech_terms: list[str] = (), page_url: str = "url"
     base = parsed.withColumn("__row", F.monotonically_increasing_id())
     items = structured.blocks(base.select("__row", "page.ld_json"), F.col("ld_json")).where(structured.is_posting(F.col("item"))).select("__row", "block", "item")
     rows = base.join(items, "__row", "left").withColumn("page", F.col("page").withField("ld_json", scripts))
-    body, link = F.left(F.col("page.text"), F.lit(200_000)), F.col(page_url)
+    rows = rows.withColumn("__body", F.left(F.col("page.text"), F.lit(200_000)))
+    # Most pages have none of the labels: one pattern for all of them goes before the pattern of each.
+    rows = rows.withColumn("__labelled", F.when(text.has_inline_labels(F.col("__body")), F.col("__body")))
+    body, link = F.col("__body"), F.col(page_url)
     ld = structured.job_posting(F.col("item"))
     micro = _props({"title": "title", "employment_type": "employmentType", "posted_date": "datePosted", "valid_through": "validThrough"}, "page.job_props")
     micro["description"] = text.filled(text.strip_tags(F.try_element_at(F.col("page.job_props"), F.lit("description"))))
@@ -94,9 +97,9 @@ def extract(parsed: DataFrame, tech_terms: list[str] = (), page_url: str = "url"
     hits = text.dictionary_hits(F.lower(body), list(tech_terms)) if tech_terms else None
     skills = {"tech_stack": text.filled(F.array_join(hits, ", ")), "skills": text.filled(F.array_join(F.slice(hits, 1, 30), ", "))} if hits is not None else {}
     dated = {"valid_through": text.deadline(F.col("page.deadline"))}
-    fields = structured.within_page(ld, micro, meta, labels, dated, text.inline_labels(body), _sections("page.sections"), people, _heuristics(body), skills, last)
-    fields["company"] = text.company_of_card(F.coalesce(fields["company"], text.employer_in(fields["description"])), F.col("page.logo_name"), fields["title"], F.col("page.company_name"))
-    fields["description"] = F.when(F.length(first_wins(ld["description"], micro["description"], meta["description"])) >= 50, first_wins(ld["description"], micro["description"], meta["description"])).otherwise(longest_wins(fields["description"], last["description"]))
+    fields = structured.within_page(ld, micro, meta, labels, dated, text.inline_labels(F.col("__labelled")), _sections("page.sections"), people, _heuristics(body), skills, last)
+    told = first_wins(ld["description"], micro["description"], meta["description"])
+    fields["description"] = text.bound(F.struct(told.alias("told"), fields["description"].alias("any")), lambda d: F.when(F.length(d["told"]) >= 50, d["told"]).otherwise(longest_wins(d["any"], last["description"])))
     fields["qualifications"] = fields["requirements"]
     fields["job_url"] = url.best_job_url(ld["job_url"], F.col("page.canonical"), text.filled(F.try_element_at(F.col("page.metas"), F.lit("og:url"))), link)
     fields["apply_url"] = first_wins(F.when(~url.is_junk(F.coalesce(ld["apply_url"], F.lit(""))), ld["apply_url"]), apply_url(F.col("page.anchors"), link), fields["job_url"])
@@ -105,7 +108,10 @@ def extract(parsed: DataFrame, tech_terms: list[str] = (), page_url: str = "url"
     fields["confidence"] = seen["confidence"].cast("string")
     likely = F.col("item").isNotNull() | scoring.likely_job_page(link, F.col("page.h1"), body) | scoring.looks_like_job_page(link, body)
     rows = rows.where(F.col("page").isNotNull() & likely)
-    out = rows.select(link.alias("url"), *[fields.get(f, F.lit(None).cast("string")).cast("string").alias(f) for f in fixed.JOB_FIELDS], merged_extras(extras).alias("extras"))
+    more = [F.col(f"page.{c}").alias(f"__{c}") for c in ("logo_name", "company_name")]
+    out = rows.select(link.alias("url"), *[fields.get(f, F.lit(None).cast("string")).cast("string").alias(f) for f in fixed.JOB_FIELDS], merged_extras(extras).alias("extras"), *more)
+    # The company follows from other fields, which are columns by now.
+    out = out.withColumn("company", text.company_of_card(F.coalesce("company", text.employer_in(F.col("description"))), F.col("__logo_name"), F.col("title"), F.col("__company_name"))).drop("__logo_name", "__company_name")
     return out.where(first_wins(F.col("title"), F.col("description")).isNotNull())
 
 
