@@ -40,6 +40,7 @@ ROUNDS = 2  # of choosing the windows that speak for sentences by the machine it
 PRIOR, TELLING, ALIKE = 1.0, 1.5, 0.8  # smoothing of evidence, least evidence of a toxic unit, kernel of too similar landmarks
 CACHE = 300_000
 ROWS, WORDS = 512, 4096  # documents and words handled at a time by a worker
+PAIRS = 1 << 17  # pairs of occurrences that meet at a time
 
 _TRIM = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»„“”‘’…–—¡¿"
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
@@ -92,22 +93,30 @@ def subsequences(words: list[str], steps: list[tuple[int, ...]] = _STEPS) -> tup
 
 
 def gram(a: list[str], b: list[str]) -> np.ndarray:
-    """Kernel values of two lists of units."""
+    """Kernel values of two lists of units.
+
+    Occurrences meet by bin, at most about ``PAIRS`` pairs at a time, so besides the result memory is bounded.
+    """
     rb, hb, wb = subsequences(b)
-    used, place = np.unique(hb, return_inverse=True)
-    known = np.zeros((len(used) + 1, len(b)), np.float32)
-    np.add.at(known, (place, rb), wb)
-    where = np.full(1 << BITS, len(used), np.int32)
-    where[used] = np.arange(len(used), dtype=np.int32)
+    order = np.argsort(hb, kind="stable")
+    rb, wb = rb[order], wb[order]
+    ends = np.cumsum(np.bincount(hb, minlength=1 << BITS), dtype=np.int32)
     out = np.zeros((len(a), len(b)), np.float32)
     for at in range(0, len(a), WORDS // 16):
-        r, h, w = subsequences(a[at : at + WORDS // 16])
-        hit = where[h] < len(used)
-        r, h, w = r[hit], where[h[hit]], w[hit]
-        order = np.argsort(r, kind="stable")
-        r, start = np.unique(r[order], return_index=True)
-        if len(start):
-            out[at + r] = np.add.reduceat(known[h[order]] * w[order].astype(np.float32)[:, None], start)
+        some = a[at : at + WORDS // 16]
+        r, h, w = subsequences(some)
+        first = np.where(h, ends[h - 1], 0)
+        count = ends[h] - first
+        hit = count > 0
+        r, w, first, count = r[hit], w[hit], first[hit], count[hit]
+        upto = np.cumsum(count)
+        cuts = [0, *np.unique(np.searchsorted(upto, np.arange(PAIRS, upto[-1] if len(upto) else 0, PAIRS))), len(upto)]
+        sums = np.zeros(len(some) * len(b))
+        for x, y in zip(cuts, cuts[1:]):
+            n = count[x:y]
+            place = np.arange(n.sum()) + np.repeat(first[x:y] - (np.cumsum(n) - n), n)
+            sums += np.bincount(np.repeat(r[x:y], n) * len(b) + rb[place], np.repeat(w[x:y], n) * wb[place], len(sums))
+        out[at : at + len(some)] = sums.reshape(len(some), len(b))
     return out
 
 
@@ -138,21 +147,22 @@ class SubsequenceMachine:
         return float(1 / (1 + np.exp(-np.clip(self.features(scores) @ self.link, -30, 30))))
 
 
-def _squared_hinge(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, penalty: float, start: np.ndarray | None = None, rounds: int = 30) -> np.ndarray:
-    """Newton's method on weighted squared hinge losses of both labels; only rows within the margin enter a step."""
-    w = np.zeros(x.shape[1]) if start is None else start.copy()
-    eye = penalty * np.eye(x.shape[1])
+def _squared_hinge(blocks: list[np.ndarray], positive: np.ndarray, negative: np.ndarray, penalty: float, start: np.ndarray | None = None, rounds: int = 30) -> np.ndarray:
+    """Newton's method on weighted squared hinge losses of both labels; only rows within the margin enter a step. Rows come in blocks, which are never joined."""
+    size, ends = blocks[0].shape[1], np.cumsum([len(x) for x in blocks])
+    w = np.zeros(size) if start is None else start.copy()
+    eye = penalty * np.eye(size)
     eye[-1, -1] = 1e-6
     for _ in range(rounds):
-        f = x @ w.astype(np.float32)
-        up, down = positive * (f < 1), negative * (f > -1)
-        near = np.flatnonzero(up + down)
-        pull, weight = (up * (f - 1) + down * (f + 1))[near], (up + down)[near]
         grad, curve = eye @ w, eye.copy()
-        for at in range(0, len(near), WORDS):
-            some = x[near[at : at + WORDS]].astype(float)
-            grad += some.T @ pull[at : at + WORDS]
-            curve += some.T @ (some * weight[at : at + WORDS, None])
+        for x, end in zip(blocks, ends, strict=True):
+            f = x @ w.astype(np.float32)
+            up, down = positive[end - len(x) : end] * (f < 1), negative[end - len(x) : end] * (f > -1)
+            near = np.flatnonzero(up + down)
+            pull, weight = (up * (f - 1) + down * (f + 1))[near], (up + down)[near]
+            some = x[near].astype(float)
+            grad += some.T @ pull
+            curve += some.T @ (some * weight[:, None])
         step = np.linalg.solve(curve, grad)
         w -= step
         if np.abs(step).max() < 1e-4 * max(1.0, np.abs(w).max()):
@@ -235,7 +245,8 @@ def _witnesses(training: DataFrame, machine: SubsequenceMachine, bound: int) ->
     seen = training.select("text", "label").mapInArrow(spoken, "unit string, label int")
     counts = seen.groupBy("unit").agg(F.sum("label").cast("double").alias("bad"), F.sum(1 - F.col("label")).cast("double").alias("good"))
     counts = materialise(counts, "witnesses")
-    return pd.concat([counts.orderBy(F.desc(c), "unit").limit(bound).toPandas() for c in ("bad", "good")]).drop_duplicates("unit")
+    # Arrow: the executors sort and cut, and the driver gets what is left as it is.
+    return pa.concat_tables([counts.orderBy(F.desc(c), "unit").limit(bound).toArrow() for c in ("bad", "good")]).to_pandas().drop_duplicates("unit")
 
 
 def fit(training: DataFrame, landmarks: int = LANDMARKS, max_units: int = UNITS, rounds: int = ROUNDS) -> SubsequenceMachine:
@@ -283,13 +294,15 @@ def fit(training: DataFrame, landmarks: int = LANDMARKS, max_units: int = UNITS,
     known = table.mapInArrow(weighed, "unit string, bad double, good double, evidence double")
     # Units that tell most, and of the rest as many as the bound allows, in hash order.
     telling = (F.col("evidence") >= TELLING) & (F.col("bad") > F.col("good"))
-    rows = known.orderBy(F.when(telling, F.col("evidence")).otherwise(0.0).desc(), F.xxhash64("unit"), "unit").limit(max_units).toPandas()
+    rows = known.orderBy(F.when(telling, F.col("evidence")).otherwise(0.0).desc(), F.xxhash64("unit"), "unit").limit(max_units).toArrow().to_pandas()
     words, bad, good = rows["unit"].tolist(), rows["bad"].to_numpy(float), rows["good"].to_numpy(float)
     tells = ((rows["evidence"] >= TELLING) & (rows["bad"] > rows["good"])).to_numpy()
     bad = np.where(tells, bad, 0.0)  # the other units of toxic sentences are no examples of anything
+    evidence = rows["evidence"].to_numpy()
+    del rows
 
     # Landmarks: what tells most, unlike each other; a quarter are the most frequent neutral units.
-    order = [i for i in np.lexsort((np.arange(len(words)), -(rows["evidence"].to_numpy() * np.log1p(bad)))) if tells[i]]
+    order = [i for i in np.lexsort((np.arange(len(words)), -(evidence * np.log1p(bad)))) if tells[i]]
     chosen, near = [], np.zeros(len(order[: 8 * landmarks]))
     r, h, w = subsequences([words[i] for i in order[: 8 * landmarks]])
     dense = np.zeros(1 << BITS, np.float32)
@@ -307,12 +320,18 @@ def fit(training: DataFrame, landmarks: int = LANDMARKS, max_units: int = UNITS,
     keep = value > 1e-6 * value.max()
     whiten = vector[:, keep] / np.sqrt(value[keep])
 
-    garbled = [(i, _garbled(words[i], n)) for n, i in enumerate(order[:4000])]
-    words += [w for _, w in garbled]
-    bad = np.concatenate([bad, [bad[i] for i, _ in garbled]])
-    good = np.concatenate([good, [good[i] for i, _ in garbled]])
-    def features(some: list[str]) -> np.ndarray:
-        return np.concatenate([gram(some, chosen) @ whiten.astype(np.float32), np.ones((len(some), 1), np.float32)], 1)
+    # What is no example needs no features, unless it speaks for a sentence later.
+    example = (bad > 0) | (good > 0)
+    moved = np.cumsum(example) - 1
+    garbled = [(moved[i], _garbled(words[i], n)) for n, i in enumerate(order[:4000])]
+    words = [word for word, kept in zip(words, example, strict=True) if kept] + [word for _, word in garbled]
+    bad, good = bad[example], good[example]
+    bad, good = (np.concatenate([x, [x[i] for i, _ in garbled]]) for x in (bad, good))
+    del evidence, order, neutral, r, h, w, dense
+
+    def features(some: list[str]) -> list[np.ndarray]:
+        parts = (some[at : at + WORDS] for at in range(0, max(1, len(some)), WORDS))
+        return [np.concatenate([gram(part, chosen) @ whiten.astype(np.float32), np.ones((len(part), 1), np.float32)], 1) for part in parts]
 
     def folded(w: np.ndarray) -> SubsequenceMachine:
         sums = np.zeros(1 << BITS)
@@ -338,11 +357,10 @@ def fit(training: DataFrame, landmarks: int = LANDMARKS, max_units: int = UNITS,
         good[place] = np.maximum(good[place], spoke["good"].to_numpy(float))
         for i, word in garbled:
             bad[at[word]] = max(bad[at[word]], bad[i])
-        if fresh:
-            x = np.concatenate([x, features(fresh)])
+        x += features(fresh)
         w = _squared_hinge(x, bad, good, PENALTY, w)
         machine = folded(w)
-    found = score_texts(training.select("doc_id", "text", "label"), machine, features=True, keep=("label",)).toPandas()
+    found = score_texts(training.select("doc_id", "text", "label"), machine, features=True, keep=("label",)).toArrow().to_pandas()
     machine.link = _logistic(np.stack(found["features"].map(np.asarray)), found["label"].to_numpy(float))
     return machine
 
