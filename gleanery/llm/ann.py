@@ -13,7 +13,12 @@ probe it, both of bounded size, however many rows share a cell. A byte indexes a
 of a group's distinct vectors (a share of them, ``share`` in all, ``rerank`` at least) are measured exactly on the original
 components, and a query's merge reads ``k`` rows per group.
 
-On data without any clusters a query has to probe most cells: then work is queries times rows, spread over groups.
+What the scan finds is an upper limit of the distance of a query's ``k``-th neighbour. A second pass makes the search exact: it reaches every cell whose
+centre and radius allow a row within the limit, bounds each row there from below by what its code stands for and how far that is
+from the row (|q-x| >= |q-y| - |e|), and measures those that may lie within. So codes that tell rows badly apart (clusters finer than the
+codes, a few rows far outside, queries unlike the sample) cost time and not neighbours.
+
+On data without any clusters a query has to reach most cells: then work is queries times rows, spread over groups.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from .common import materialise
 SAMPLE = 8192
 CENTRES = 16
 CELL_ROWS, CELLS = 8192, 1024  # rows of a cell aimed at; cells at most
-CHUNK_ROWS, QUERY_BLOCK = 8192, 4096
+CHUNK_ROWS, QUERY_BLOCK, REACH_BLOCK = 8192, 4096, 16384
 GOAL, PROBED = 0.98, 256  # share of a sampled query's neighbours that its cells hold; queries tried for that
 FAR = 1e15  # components beyond this many deviations are coded as that; they are measured exactly
 RESULT = "query_id long, rank int, vec_id long, score double"
@@ -89,6 +94,13 @@ class Quantiser:
         with np.errstate(over="ignore"):
             return np.clip((vectors.astype(np.float64) - self.origin) / self.scale, -FAR, FAR)
 
+    def blur(self, vectors: np.ndarray) -> np.ndarray:
+        """At most so far are placed vectors from where they would be without rounding; infinite for those that are cut off."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = (np.abs(vectors / self.scale) + np.abs(self.origin / self.scale)).sum(1) * 1e-13 + 1e-300
+            cut = np.abs((vectors.astype(np.float64) - self.origin) / self.scale).max(1) >= FAR
+        return np.where(cut | ~np.isfinite(near), np.inf, near)
+
     @staticmethod
     def split(x: np.ndarray, parts: int) -> np.ndarray:
         """Rows as (row, subspace, component), zero-padded to an even number of equal subspaces."""
@@ -204,7 +216,7 @@ def fitted(sample: np.ndarray, rows: int, goal: float = GOAL, cell_rows: int = C
     return made
 
 
-INDEX = "cell int, spot long, vec_id long, vec {kind}, code binary"
+INDEX = "cell int, spot long, vec_id long, vec {kind}, code binary, off double"
 
 
 def build_index(rows: DataFrame, dim: int, sample: int = SAMPLE, goal: float = GOAL, cell_rows: int = CELL_ROWS) -> tuple[Quantiser, DataFrame]:
@@ -222,7 +234,9 @@ def build_index(rows: DataFrame, dim: int, sample: int = SAMPLE, goal: float = G
                 x = coder.placed(_matrix(b.column("vec"), dim))
                 cell = nearest_cells(x, coder.cells, 1)[:, 0]
                 packed = Quantiser.packed(coder.codes(x, x - coder.cells[cell]))
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(np.arange(spot, spot + len(x))), *b.columns, pa.array([p.tobytes() for p in packed], pa.binary())], ["cell", "spot", "vec_id", "vec", "code"])
+                off = np.sqrt(((x - coder.cells[cell]) ** 2).sum(1)) + coder.blur(_matrix(b.column("vec"), dim).astype(np.float64))
+                columns = [pa.array(cell, pa.int32()), pa.array(np.arange(spot, spot + len(x))), *b.columns, pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(off)]
+                yield pa.RecordBatch.from_arrays(columns, ["cell", "spot", "vec_id", "vec", "code", "off"])
                 spot += len(x)
 
     kind = rows.schema["vec"].dataType.simpleString()
@@ -289,6 +303,49 @@ def _scan(coder, dim: int, k: int, share: float):
     return run
 
 
+def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs of rows, less what rounding may have added."""
+    a, b = (x**2).sum(1)[:, None], (y**2).sum(1)[None]
+    return np.maximum(a - 2 * (x @ y.T) + b - (1e-13 + 4e-16 * x.shape[1]) * (a + b), 0.0)
+
+
+def reached(coder: Quantiser, queries: np.ndarray, limits: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """(query, cell): whether a cell of such a radius (negative: empty) may hold a row within the query's limit."""
+    gap = np.sqrt(squares(coder.placed(queries), coder.cells)) - coder.blur(queries)[:, None]
+    with np.errstate(over="ignore"):
+        return (radii >= 0) & (gap * (1 - 1e-9) - radii * (1 + 1e-9) <= (limits / coder.scale)[:, None])
+
+
+def _measure(coder, dim: int, k: int):
+    """A chunk's ``k`` nearest of each query of a block, of the rows that may lie within the query's limit."""
+
+    def run(key: tuple, rows: pa.Table, asked: pa.Table) -> pa.Table:
+        found: tuple[list, ...] = ([], [], [])
+        if rows.num_rows and asked.num_rows:
+            own = coder.value
+            centre = own.cells[key[0].as_py()]
+            ids, vec = rows.column("vec_id").to_numpy(), _matrix(rows.column("vec").combine_chunks(), dim).astype(np.float64)
+            code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+            rest, stands = own.placed(vec) - centre, own.restored(code)
+            left = np.sqrt(((rest - stands) ** 2).sum(1)) * (1 + 1e-9) + own.blur(vec)
+            query_ids, queries = asked.column("query_id").to_numpy(), _matrix(asked.column("q").combine_chunks(), dim).astype(np.float64)
+            with np.errstate(over="ignore"):
+                limits = asked.column("limit").to_numpy() / own.scale * (1 + 1e-9)
+            for at in range(0, len(query_ids), 64):
+                some = queries[at : at + 64]
+                least = np.sqrt(squares(own.placed(some) - centre, stands)) - left - own.blur(some)[:, None]
+                within = least <= limits[at : at + 64, None]
+                for i, may in enumerate(within, at):
+                    may = np.flatnonzero(may & (ids != query_ids[i]))
+                    top = _best(ids[may], distances(vec[may], queries[i]), k) if len(may) else (ids[:0], np.zeros(0))
+                    for column, value in zip(found, (np.full(len(top[0]), query_ids[i]), *top), strict=True):
+                        column.append(value)
+        kinds = (np.int64, np.int64, np.float64)
+        return pa.table({c: np.concatenate([np.zeros(0, t), *x]) for c, t, x in zip(("query_id", "vec_id", "score"), kinds, found, strict=True)})
+
+    return run
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame | None = None,
@@ -301,15 +358,16 @@ def nearest(
     dim: int | None = None,
     goal: float = GOAL,
     cell_rows: int = CELL_ROWS,
+    exact: bool = True,
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest rows found, by exact Euclidean distance in double precision.
+    """``query_id, rank, vec_id, score``: the ``k`` nearest rows, by exact Euclidean distance in double precision.
 
     ``queries`` (default: rows whose id is divisible by ``every``) are searched against all valid rows but those of their
     own id. Ties go to the smaller id. Fewer than ``k`` candidates give fewer rows; no valid vector gives no
     rows. Rows that take no part: see ``valid_vectors``. Copies of a vector are scanned once a group, so they
     cannot crowd others out. Repeated ids are separate candidates; of queries with one id the smallest vector asks. Extra columns are ignored.
 
-    ``goal=1`` probes every cell, ``share=1`` besides measures every row exactly.
+    ``goal`` (1: every cell) and ``share`` (1: every row) say how much the scan probes and measures; with ``exact=False`` what it finds is returned.
     """
     spark = vectors.sparkSession
     rows, dim = valid_vectors(vectors, id_col, vector_col, dim)
@@ -318,7 +376,7 @@ def nearest(
     coder, index = build_index(rows, dim, goal=goal, cell_rows=cell_rows)
     asked = index.where(F.col("vec_id") % every == 0) if queries is None else valid_vectors(queries, id_col, vector_col, dim)[0]
     asked = asked.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("q"))
-    counts = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("asking")).collect()  # a row per cell
+    counts = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("asking"), F.max("off").alias("radius")).collect()  # a row per cell
     total = sum(r["n"] for r in counts)
     asking = sum(r["asking"] for r in counts) if queries is None else asked.count()
     probes = len(coder.cells) if goal >= 1 else coder.probes
@@ -345,6 +403,32 @@ def nearest(
     budget = min(1.0, max(share, rerank / max(1, total)) * len(coder.cells) / probes)  # of the rows that are probed
     found = scanned.groupBy(*key).cogroup(probed.groupBy(*key)).applyInArrow(_scan(held, dim, k, budget), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    if not exact or goal >= 1 and share >= 1:
+        return found
+    # With fewer than k found there is no limit.
+    limits = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("score")).alias("limit"))
+    limited = materialise(asked.join(limits, "query_id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf")))), "limits")
+    radii = np.full(len(coder.cells), -1.0)
+    for r in counts:
+        radii[r["cell"]] = r["radius"]
+
+    def reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                which = reached(held.value, _matrix(b.column("q"), dim).astype(np.float64), b.column("limit").to_numpy(), radii)
+                cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], which.sum(1).cumsum()]), pa.int32()), pa.array(np.nonzero(which)[1], pa.int32()))
+                yield b.append_column("cells", cells)
+
+    reach = limited.select("query_id", "q", "limit").mapInArrow(reaching, f"query_id long, q {kind}, limit double, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells")
+    block_counts = [0] * len(coder.cells)
+    for r in reach.groupBy("cell").count().collect():  # a row per cell
+        block_counts[r["cell"]] = -(-r["count"] // REACH_BLOCK)
+    several_blocks = F.element_at(F.array(*[F.lit(n) for n in block_counts]), F.col("cell") + 1)
+    reach = reach.withColumn("block", F.pmod(F.xxhash64("query_id"), several_blocks.cast("long")).cast("int"))
+    reach = reach.withColumn("chunk", F.explode(F.sequence(F.lit(0), several - 1)))
+    rows = index.where(several_blocks > 0).select("vec_id", "vec", "code", "cell", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), several_blocks - 1)).alias("block"))
+    found = rows.groupBy(*key).cogroup(reach.groupBy(*key)).applyInArrow(_measure(held, dim, k), "query_id long, vec_id long, score double")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -81,3 +81,19 @@ def test_most_rows_in_one_vector(spark):
     got = found(df, cell_rows=500)
     assert got[0] == [(3 * i, 0.0) for i in range(1, 11)]
     assert recall({q: got[q] for q in got if q % 3}, np.arange(3000), x) >= 0.95
+
+
+@pytest.mark.parametrize("kind", ["clusters finer than the codes", "norms of all sizes", "queries unlike the rest"])
+def test_every_true_neighbour_on_other_rows(spark, kind):
+    """Rows that the codes tell badly apart: the scan alone misses many, the search has all."""
+    rng = np.random.default_rng(5)
+    x, ids = rng.normal(size=(6000, 32)), np.arange(6000)
+    if kind == "clusters finer than the codes":
+        x = rng.normal(size=(6, 32))[rng.integers(0, 6, 6000)] + 1e-3 * x
+    elif kind == "norms of all sizes":
+        x *= np.exp(1.5 * rng.normal(size=(6000, 1)))
+    else:
+        x[::100] += 20 * rng.normal(size=32)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(3)
+    assert recall(found(df, cell_rows=1000), ids, x) == 1.0
+    assert kind.startswith("queries") or recall(found(df, cell_rows=1000, rerank=60, exact=False), ids, x) < 0.9
