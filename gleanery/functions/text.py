@@ -48,15 +48,21 @@ def _word(word: str) -> str:
     return rf"(?U)\b{re.escape(word)}\b"
 
 
-def matches(text: Column, word: str) -> Column:
-    """Words of up to three characters match whole, longer ones anywhere. ``text`` is lower-cased already."""
+def matches(text: Column, word: str, letters: str | None = None) -> Column:
+    """Words of up to three characters match whole, longer ones anywhere. ``text`` is lower-cased already.
+
+    What may not stand beside a whole word are Unicode's word characters, or the class ``letters`` alone. A substring test goes
+    before the pattern.
+    """
     low = word.strip().lower()
-    return text.rlike(_word(low)) if len(low) <= 3 else F.contains(text, F.lit(low))
+    whole = _word(low) if letters is None else rf"(?<![{letters}]){re.escape(low)}(?![{letters}])"
+    there = F.contains(text, F.lit(low))
+    return there & text.rlike(whole) if len(low) <= 3 else there
 
 
-def matched_keywords(text: Column, keywords: list[str]) -> Column:
+def matched_keywords(text: Column, keywords: list[str], letters: str | None = None) -> Column:
     """Keywords found, in list order."""
-    return F.array_compact(F.array(*[F.when(matches(text, k), F.lit(k.strip())) for k in keywords if k and k.strip()]))
+    return F.array_compact(F.array(*[F.when(matches(text, k, letters), F.lit(k.strip())) for k in keywords if k and k.strip()]))
 
 
 def located(text: Column, includes: list[str], excludes: list[str] = (), strict_exclude: bool = False) -> Column:
