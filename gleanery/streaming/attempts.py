@@ -18,8 +18,17 @@ def failure_state(attempts: DataFrame, retries: int = 2, backoff_ms: int = 1000,
 
     A failure counts and reopens; a success resolves. ``retry_at_ms`` is when to try again: exponential backoff from the last
     failure, null once resolved or after ``retries + 1`` attempts. With ``expire_ms`` state is dropped after that much processing time
-    without news, which bounds it.
+    without news, which bounds it; without it the state is running aggregates, so no group costs a call of Python.
     """
+    if not expire_ms:
+        bad = ~F.col("ok")
+        state = attempts.groupBy("run_id", "url").agg(
+            F.count(F.lit(1)).cast("int").alias("attempts"), F.count_if(bad).cast("int").alias("failures"),
+            F.max(F.when(bad, F.struct("ts_ms", "reason")))["reason"].alias("reason"), F.max(F.struct("ts_ms", "ok")).alias("end"),
+        )
+        resolved = F.col("end.ok") & (F.col("failures") > 0)
+        again = F.when(~resolved & (F.col("failures") > 0) & (F.col("attempts") <= retries), F.col("end.ts_ms") + (backoff_ms * F.pow(F.lit(2.0), F.col("attempts") - 1)).cast("long"))
+        return state.select("run_id", "url", "attempts", "failures", "reason", resolved.alias("resolved"), again.alias("retry_at_ms"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -35,13 +44,11 @@ def failure_state(attempts: DataFrame, retries: int = 2, backoff_ms: int = 1000,
                 last, good = int(end["ts_ms"]), bool(end["ok"])
         resolved = good and failed > 0
         state.update((tried, failed, reason, last, bad_ms, good))
-        if expire_ms:
-            state.setTimeoutDuration(expire_ms)
+        state.setTimeoutDuration(expire_ms)
         again = None if resolved or failed == 0 or tried > retries else last + backoff_ms * 2 ** (tried - 1)
         yield pd.DataFrame({"run_id": [key[0]], "url": [key[1]], "attempts": [tried], "failures": [failed], "reason": [reason], "resolved": [resolved], "retry_at_ms": pd.array([again], "Int64")})
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire_ms else GroupStateTimeout.NoTimeout
-    return attempts.groupBy("run_id", "url").applyInPandasWithState(step, OUT, STATE, "update", timeout)
+    return attempts.groupBy("run_id", "url").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def new_cards(cards: DataFrame, key: str, at: str, late: str = "1 hour") -> DataFrame:
